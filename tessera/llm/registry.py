@@ -1,6 +1,6 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
-from tessera.llm import secrets
+from tessera.llm import licences, quality_rules, secrets
 
-QUERIES = {"op1_secret_scan": secrets.op1_secret_scan}
-ORACLES = {}
+QUERIES = {"op1_secret_scan": secrets.op1_secret_scan, "op2_license_scan": licences.op2_license_scan, "op6_quality_rules": quality_rules.op6_quality_rules}
+ORACLES = {"op2_license_scan": licences.oracle()}
