@@ -53,18 +53,41 @@ def as_rows(batch, *names):
 
 
 class WordIds(dict):
-    """word -> number in order of first sight; `hashes` has a 64-bit hash of each, the same in every process."""
+    """word -> number in order of first sight; at() has 64-bit hashes of words, the same in every process."""
 
     def __init__(self):
+        import numpy as np
         import xxhash
 
-        self.hash, self.hashes = xxhash.xxh64_intdigest, []
+        self.hash, self.fresh, self.known, self.kept = xxhash.xxh64_intdigest, [], np.zeros(4096, np.uint64), 0
 
     def __missing__(self, word):
-        self[word] = n = len(self.hashes)
-        self.hashes.append(self.hash(word))
+        self[word] = n = self.kept + len(self.fresh)
+        self.fresh.append(self.hash(word))
         return n
 
+    def array(self):
+        """Hashes by number."""
+        import numpy as np
+
+        if self.fresh:
+            n = self.kept + len(self.fresh)
+            if n > len(self.known):
+                self.known = np.concatenate([self.known[: self.kept], np.zeros(2 * n - self.kept, np.uint64)])
+            self.known[self.kept : n] = self.fresh
+            self.kept, self.fresh = n, []
+        return self.known[: self.kept]
+
+    def numbers(self, words):
+        import numpy as np
+
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def at(self, words):
+        """Hashes of the words."""
+        n = self.numbers(words)
+        return self.array()[n]
+
 
 #: ASCII letters in lower case; ASCII letters, digits and all bytes above ASCII are kept, the rest become spaces.
 ALNUM = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else b if b >= 128 else 32 for b in range(256))
