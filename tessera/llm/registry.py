@@ -1,6 +1,6 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
-from tessera.llm import decontaminate, licences, packing, quality_rules, secrets, substring_dedup
+from tessera.llm import decontaminate, licences, packing, quality_rules, secrets, substring_dedup, suffix_tree_lm
 
-QUERIES = {"op1_secret_scan": secrets.op1_secret_scan, "op2_license_scan": licences.op2_license_scan, "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination, "op6_quality_rules": quality_rules.op6_quality_rules, "op7_substring_dedup": substring_dedup.op7_substring_dedup, "op10_packing": packing.op10_packing}
+QUERIES = {"op1_secret_scan": secrets.op1_secret_scan, "op2_license_scan": licences.op2_license_scan, "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination, "op6_quality_rules": quality_rules.op6_quality_rules, "op7_substring_dedup": substring_dedup.op7_substring_dedup, "op8_lm_scoring": suffix_tree_lm.op8_lm_scoring, "op10_packing": packing.op10_packing}
 ORACLES = {"op2_license_scan": licences.oracle()}
