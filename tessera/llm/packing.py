@@ -1,6 +1,6 @@
 """Packing along a Hilbert curve: documents that lie close together share training sequences.
 
-A document's tokens are hashed into a signed count vector, which fixed random
+A document's strings of four bytes are hashed into a signed count vector, which fixed random
 directions project to DIMS numbers; the Hilbert key of that point orders the documents.
 They are dealt by ranges of the key, so neighbours on the curve meet in a task, which
 lays their tokens end to end and cuts sequences of the full length. What remains at the
@@ -15,7 +15,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordIds, alnum_words, as_rows, table, texts
+from tessera.llm.common import LOWER, as_rows, table, texts
 
 LENGTH, END_ID = 2048, 1
 #: Of the hashed vector, of the curve, and bits of a coordinate.
@@ -59,6 +59,17 @@ def hilbert_keys(points):
     return key
 
 
+def hashed(text: str):
+    """Counts of all strings of four bytes of a text, by a hash, with a sign by another bit of it."""
+    import numpy as np
+
+    raw, counts = text.encode().translate(LOWER), np.zeros(2 * HASHED, np.int64)
+    for k in range(min(4, max(0, len(raw) - 3))):
+        fours = np.frombuffer(raw, "<u4", (len(raw) - k) // 4, k)
+        counts += np.bincount((fours * np.uint32(0x9E3779B1)) >> np.uint32(32 - (2 * HASHED - 1).bit_length()), minlength=2 * HASHED)
+    return counts[:HASHED] - counts[HASHED:]
+
+
 def keys_of(vectors):
     """Hilbert keys of hashed vectors: square roots of the counts, length one, projected, each coordinate spread evenly."""
     import numpy as np
@@ -76,14 +87,10 @@ def with_keys(docs: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        ids = WordIds()
         for batch in batches:
             vectors = np.zeros((batch.num_rows, HASHED))
             for i, (text,) in enumerate(as_rows(batch, "text")):
-                if len(ids) > 400_000:
-                    ids = WordIds()
-                h = ids.at(alnum_words(text))
-                vectors[i] = np.bincount((h & np.uint64(HASHED - 1)).astype(np.int64), (h >> np.uint64(63)).astype(np.float64) * 2 - 1, HASHED)
+                vectors[i] = hashed(text)
             yield pa.RecordBatch.from_arrays([pa.array(keys_of(vectors), pa.int64()), batch.column(0), batch.column(1)], ["key", "doc_id", "text"])
 
     return docs.mapInArrow(run, f"key bigint, doc_id {dict(docs.dtypes)['doc_id']}, text string")
