@@ -1,5 +1,63 @@
-STAGES, ORACLE_SQL = [], None
+"""Documents to packed training sequences: quality, repeated lines, near copies, benchmark passages, packing.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
+the columns of documents.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.common import checkpointed, table
+from tessera.llm.decontaminate import find_contamination
+from tessera.llm.line_dedup import drop_repeated_lines
+from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.packing import pack_documents
+from tessera.llm.quality_crf import keep_good, quality_model
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    return keep_good(docs, quality_model(spark, sf_dir, docs))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of lines; those that lose all their words go."""
+    found = drop_repeated_lines(docs)
+    lost = F.size("removed_lines") > 0
+    left = found.filter(~(lost & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))))
+    return left.withColumn("n_chars", F.when(lost, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class: the one with the least id."""
+    classes = near_duplicates(docs)
+    return docs.join(classes.filter("doc_id <> class_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(found.filter("n_hit > 0").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences."""
+    return pack_documents(spark, docs)
+
+
+STAGES = [("quality", quality), ("line_dedup", lines), ("near_dedup", near_copies), ("decontamination", benchmark), ("packing", packing)]
+
+#: The classifier, the sketches and the tokenizer are beyond SQL; tests hold the stages against brute-force versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each on what its predecessor kept, from the table of documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = checkpointed(docs)
+    return docs

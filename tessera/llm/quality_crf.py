@@ -301,6 +301,27 @@ def score_quality(df: DataFrame, model: Classifier, id_col="doc_id", text_col="t
     return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, line_quality double, score double")
 
 
+def keep_good(df: DataFrame, model: Classifier, text_col="text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of df, as they are, whose texts score `threshold` or more; a null text scores as an empty one."""
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        of = classes()
+        for batch in batches:
+            held, start, size, lengths = [], 0, 0, batch.column(at).to_pylist()
+            for i, text in enumerate(lengths):
+                held.append(text or "")
+                size += len(held[-1])
+                if size > 1_000_000 or i + 1 == len(lengths):
+                    keep = model.scores(held, of)[1] >= threshold
+                    yield batch.slice(start, len(held)).filter(pa.array(keep))
+                    held, start, size = [], i + 1, 0
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(column) -> F.col:
     """Whether a fifth of all ids, by crc32 of their text, holds this one."""
     return F.coalesce(F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
