@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text in a chunk, and the least number of chunks; a chunk is what one Python task holds.
-CHUNK_CHARS, LEAST_CHUNKS = 8_000_000, 64
+CHUNK_CHARS, LEAST_CHUNKS = 3_000_000, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

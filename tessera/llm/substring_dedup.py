@@ -138,8 +138,8 @@ def sent(chunk: int, hashes, docs, doc_ids, buckets: int):
     ends = np.append(heads[1:], len(hashes)) - 1 if len(heads) else heads
     lowest, several, hashes = doc_ids[docs[heads]], docs[heads] != docs[ends], hashes[heads]
     which = (hashes >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
-    cuts = np.searchsorted(which, np.arange(buckets + 1, dtype=np.uint64))
-    rows = [(b, s, e) for b, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if e > s]
+    cuts = np.concatenate([[0], np.flatnonzero(which[1:] != which[:-1]) + 1, [len(which)]]) if len(which) else np.zeros(1, np.int64)
+    rows = list(zip(which[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist()))
     return pa.table(
         {
             "bucket": pa.array([b for b, _, _ in rows], pa.int32()),
