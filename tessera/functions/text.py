@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,8 +70,6 @@ def jaro_winkler(a: str, b: str) -> float:
 
 
 def jaro_winkler_column(a: Column, b: Column) -> Column:
-    import pandas as pd
-
     def score(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([jaro_winkler(s or "", t or "") for s, t in zip(x, y)], dtype="float64")
 
