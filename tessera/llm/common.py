@@ -37,6 +37,13 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as make it differ from those of all columns."""
+    while name.lower() in map(str.lower, df.columns):
+        name = "_" + name
+    return name
+
+
 def chunked(docs: DataFrame, chunk_chars: int = CHUNK_CHARS, least: int = LEAST_CHUNKS) -> DataFrame:
     """(chunk, doc_id, text): documents dealt by their id, about chunk_chars characters to a chunk.
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, table, texts
+from tessera.llm.common import checkpointed, table, texts, unused
 
 #: Least words of a run whose later copies go: shorter ones, such as blank lines and headings, recur by nature.
 LEAST_WORDS = 10
@@ -72,11 +72,11 @@ def drop_repeated_lines(df: DataFrame, id_col="doc_id", text_col="text", least_w
     df that is called removed_lines is replaced.
     """
     docs = texts(df, id_col, text_col)
-    removed = later_copies(docs, least_words).select(F.col("doc_id").alias("__doc_id"), F.col("removed").alias("__removed"))
-    found = df.join(removed, F.col(id_col) == F.col("__doc_id"), "left")
-    none = F.array().cast("array<int>")
-    gone = F.coalesce(F.col("__removed"), none)
-    return found.withColumns({text_col: F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(kept_text(F.col(text_col), gone)), "removed_lines": gone}).drop("__doc_id", "__removed")
+    key, lost = unused(df, "key"), unused(df, "lost")
+    removed = later_copies(docs, least_words).select(F.col("doc_id").alias(key), F.col("removed").alias(lost))
+    found = df.join(removed, F.col(id_col) == F.col(key), "left")
+    gone = F.coalesce(F.col(lost), F.array().cast("array<int>"))
+    return found.withColumns({text_col: F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(kept_text(F.col(text_col), gone)), "removed_lines": gone}).drop(key, lost)
 
 
 def op9_line_dedup(spark, sf_dir) -> DataFrame:

@@ -224,8 +224,8 @@ def near_duplicates(df: DataFrame, id_col="doc_id", text_col="text", least: floa
     distinct shingles is common to both. Words are runs of ASCII letters
     (in lower case), ASCII digits and non-ASCII characters; texts of fewer than five
     have one shingle. Documents with the same words are one class. Null texts and
-    texts without words are each a class of their own; ids are taken to differ; other
-    columns are left out; no rows give no rows.
+    texts without words are each a class of their own; rows with one id each give a
+    row, of one class; other columns are left out; no rows give no rows.
 
     Copies are counted by the hash of their words before anything is joined, and only
     the least document of each kind is sketched against others, so groups of any size
@@ -239,7 +239,8 @@ def near_duplicates(df: DataFrame, id_col="doc_id", text_col="text", least: floa
     of = checkpointed(some.join(kinds, "words").select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")))
     links = checked(pairs_of(of.filter("doc_id = rep").select("doc_id", "keys")), docs, least)
     roots = components(links)
-    found = made.select("doc_id").join(of.select("doc_id", "rep"), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    one = of.groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    found = made.select("doc_id").join(one, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     return found.join(roots, found.rep == roots.id, "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
 
 
