@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, table, texts, unused
+from tessera.llm.common import checkpointed, joined_by, table, texts, unused
 
 #: Least words of a run whose later copies go: shorter ones, such as blank lines and headings, recur by nature.
 LEAST_WORDS = 10
@@ -25,13 +25,8 @@ def words_in(line: Column) -> Column:
 
 def named(runs: DataFrame, by: list[str]) -> DataFrame:
     """(doc_id, pos, words, name) of the runs that are not alone with their keys; the name is the first of them."""
-    first = runs.groupBy(*by).agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    keys = [f"k{i}" for i in range(len(by))]
-    first = first.select(*(F.col(c).alias(k) for c, k in zip(by, keys)), "first")
-    same = None
-    for c, k in zip(by, keys):
-        same = (F.col(c) == F.col(k)) if same is None else same & (F.col(c) == F.col(k))
-    return runs.select("doc_id", "pos", "words", *by).join(first, same).select("doc_id", "pos", "words", F.col("first").alias("name"))
+    first = runs.groupBy(*by).agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return joined_by(runs.select("doc_id", "pos", "words", *by), first, by).select("doc_id", "pos", "words", F.col("first").alias("name"))
 
 
 def later_copies(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:

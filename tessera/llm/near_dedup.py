@@ -16,7 +16,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordIds, alnum_words, as_rows, checkpointed, gram_hashes, mixed, table, texts
+from tessera.llm.common import WordIds, alnum_words, as_rows, checkpointed, gram_hashes, joined_by, mixed, table, texts
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Sketches of a document, and shingles in a sketch.
@@ -172,7 +172,7 @@ def pairs_of(reps: DataFrame) -> DataFrame:
     rows = reps.select("doc_id", F.explode(F.concat(one, two)).alias("x")).select("doc_id", "x.band", "x.key")
     rank = F.struct(F.xxhash64("band", "doc_id").alias("h"), "doc_id")
     chosen = rows.groupBy("band", "key").agg(F.min(rank).alias("r"), F.count("*").alias("n")).filter("n > 1").select("band", "key", F.col("r.doc_id").alias("a"))
-    return rows.join(chosen, ["band", "key"]).filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    return joined_by(rows, chosen, ["band", "key"]).filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
 
 
 def with_shingles(docs: DataFrame) -> DataFrame:
@@ -235,8 +235,9 @@ def near_duplicates(df: DataFrame, id_col="doc_id", text_col="text", least: floa
     docs = texts(df, id_col, text_col)
     made = checkpointed(sketched(docs))
     some = made.filter(F.col("words").isNotNull())
-    kinds = some.groupBy("words").agg(F.min("doc_id").alias("rep"))
-    of = checkpointed(some.join(kinds, "words").select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")))
+    kinds = some.groupBy("words").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    of = joined_by(some, kinds, ["words"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    of = checkpointed(of.select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")))
     links = checked(pairs_of(of.filter("doc_id = rep").select("doc_id", "keys")), docs, least)
     roots = components(links)
     one = of.groupBy("doc_id").agg(F.min("rep").alias("rep"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordIds, chunked, gram_hashes, lowest_of_each, table, texts
+from tessera.llm.common import WordIds, chunked, gram_hashes, lowest_of_each, mixed, table, texts
 
 WINDOW = 13
 #: Entries that a task gathers from all chunks, about.
@@ -75,7 +75,7 @@ class Chunk:
         self.docs = np.array(self.docs, np.int64)
 
     def anchors(self, window: int):
-        """(hash, index of document) of the lowest half windows, once a document."""
+        """(hash, index of document) of the lowest half windows, once a document; hashed anew, as lowest ones crowd at the low end."""
         import numpy as np
 
         half = (window + 1) // 2
@@ -84,7 +84,7 @@ class Chunk:
         for k, (start, size) in enumerate(zip(self.starts.tolist(), self.sizes.tolist())):
             if size >= window:
                 g = grams[start : start + size - half + 1]
-                h = np.unique(g[lowest_of_each(g, window - half + 1)])
+                h = np.unique(mixed(g[lowest_of_each(g, window - half + 1)]))
                 out.append(h)
                 docs.append(np.full(len(h), k, np.int32))
         return (np.concatenate(out), np.concatenate(docs)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
@@ -112,7 +112,7 @@ class Chunk:
             for j in range(1, w):
                 np.minimum(lows, grams[j : len(grams) - w + 1 + j], out=lows)
         hashes, places, docs = self.windows(window)
-        keep = among(lows[places], anchors)
+        keep = among(mixed(lows[places]), anchors)
         return hashes[keep], places[keep], docs[keep]
 
 
