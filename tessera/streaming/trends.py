@@ -24,8 +24,12 @@ def take_up(kept: list[tuple[int, float]], samples: list[tuple[int, float]], con
     return kept
 
 
-def ingest_stream(samples: DataFrame, config: TrendConfig = TrendConfig()) -> DataFrame:
-    """(id, ts, downloads): the kept samples of each id that a batch touches. State is at most max_samples a key and goes keep_days after the last sample."""
+def ingest_stream(samples: DataFrame, config: TrendConfig = TrendConfig(), expire: bool = False) -> DataFrame:
+    """(id, ts, downloads): the kept samples of each id that a batch touches. State is at most max_samples a key.
+
+    With `expire`, for streams that run on, it goes keep_days after a key's last
+    sample; a trigger that ends when its input does would wait for that.
+    """
 
     def update(key, frames, state: GroupState):
         import pandas as pd
@@ -37,10 +41,11 @@ def ingest_stream(samples: DataFrame, config: TrendConfig = TrendConfig()) -> Da
         new = [(int(t), float(d)) for f in frames for t, d in zip(f["ts"], f["downloads"])]
         kept = take_up(kept, new, config)
         state.update(([t for t, _ in kept], [d for _, d in kept]))
-        state.setTimeoutDuration(config.keep_days * 86_400_000)
+        if expire:
+            state.setTimeoutDuration(config.keep_days * 86_400_000)
         yield pd.DataFrame({"id": [key[0]] * len(kept), "ts": [t for t, _ in kept], "downloads": [d for _, d in kept]})
 
-    return samples.groupBy("id").applyInPandasWithState(update, "id string, ts bigint, downloads double", "ts array<bigint>, downloads array<double>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return samples.groupBy("id").applyInPandasWithState(update, "id string, ts bigint, downloads double", "ts array<bigint>, downloads array<double>", "update", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
 def installs_stream(changes: DataFrame) -> DataFrame:
