@@ -223,3 +223,16 @@ def op5_benchmark_decontamination(spark, sf_dir) -> DataFrame:
     """What every document holds of the benchmark."""
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE = f"""WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+i AS (SELECT item_id, {_WORDS} AS words FROM benchmark),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(words[q + 1 : q + n], ' ') AS g FROM (SELECT item_id, words, least({WINDOW}, len(words)) AS n, unnest(range(len(words) - least({WINDOW}, len(words)) + 1)) AS q FROM i WHERE len(words) > 0)),
+ns AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, n, p, array_to_string(words[p + 1 : p + n], ' ') AS g FROM (SELECT doc_id, words, n, unnest(range(len(words) - n + 1)) AS p FROM w, ns WHERE len(words) >= n)),
+h AS (SELECT doc_id, item_id, p, dw.n FROM dw JOIN iw ON dw.n = iw.n AND dw.g = iw.g),
+c AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS at FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM h GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""

@@ -92,3 +92,17 @@ def apply_rules(df: DataFrame, id_col="doc_id", text_col="text", by=("lang", "so
 def op6_quality_rules(spark, sf_dir) -> DataFrame:
     """Counts and verdict of every document."""
     return apply_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_RATIOS = ", ".join(f"{a} / greatest({b}, 1) AS {k}" for k, (a, b, _) in RATIOS.items())
+_LIMITS = ", ".join(f"quantile_disc({k}, 0.5) + greatest(6.0 * (quantile_disc({k}, 0.75) - quantile_disc({k}, 0.25)), {least}) AS max_{k}" for k, (_, _, least) in RATIOS.items())
+#: Exact quantiles: the sketches are exact as long as a group has fewer rows than their accuracy.
+ORACLE = f"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+g AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS k FROM (SELECT doc_id, p, array_to_string(words[p + 1 : p + {WINDOW}], ' ') AS g FROM (SELECT doc_id, words, unnest(range(len(words) - {WINDOW} + 1)) AS p FROM w WHERE len(words) >= {WINDOW}))),
+r AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(p, p + {WINDOW})) FROM g WHERE k > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM w),
+c AS (SELECT doc_id, lang, source, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines FROM w JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed, {_RATIOS} FROM c),
+q AS (SELECT lang, source, {_LIMITS} FROM f WHERE NOT base_failed GROUP BY lang, source)
+SELECT doc_id, {', '.join(COUNTS)}, base_failed, NOT base_failed AND {' AND '.join(f'coalesce({k} <= max_{k}, true)' for k in RATIOS)} AS kept, {', '.join(RATIOS)}, {', '.join(f'max_{k}' for k in RATIOS)}
+FROM f LEFT JOIN q ON f.lang IS NOT DISTINCT FROM q.lang AND f.source IS NOT DISTINCT FROM q.source"""

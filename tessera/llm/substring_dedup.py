@@ -265,3 +265,13 @@ def op7_substring_dedup(spark, sf_dir) -> DataFrame:
     """What every document loses to documents before it."""
     found = repeated_words(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("runs").cast("long").alias("n_runs"))
+
+
+ORACLE = f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+g AS (SELECT doc_id, p, md5(array_to_string(words[p + 1 : p + {WINDOW}], ' ')) AS g FROM (SELECT doc_id, words, unnest(range(len(words) - {WINDOW} + 1)) AS p FROM w WHERE len(words) >= {WINDOW})),
+m AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY g) AS low FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(range(p, p + {WINDOW})) AS spot FROM m WHERE low < doc_id),
+r AS (SELECT doc_id, list_sort(list(spot)) AS gone FROM c GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_runs FROM (SELECT doc_id, spot, lag(spot) OVER (PARTITION BY doc_id ORDER BY spot) AS b FROM c) WHERE b IS NULL OR b < spot - 1 GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(gone, i - 1)) END, ' '), '')) AS kept_sha256, coalesce(n_runs, 0)::BIGINT AS n_runs
+FROM w LEFT JOIN r USING (doc_id) LEFT JOIN n USING (doc_id)"""

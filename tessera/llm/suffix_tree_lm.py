@@ -104,7 +104,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for part in runs_of(batches, 8 * TOKENS):
+        for part in runs_of(batches, 3 * TOKENS):
             numbers, before = part.close()
             n = np.bincount(numbers[before > 0], minlength=len(part.ids))
             yield pa.RecordBatch.from_arrays([pa.array(part.ids.array().view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
@@ -120,7 +120,7 @@ def count_grams(docs: DataFrame, sent) -> DataFrame:
         import pyarrow as pa
 
         frequent, levels = sent.value
-        for part in runs_of(batches, 8 * TOKENS):
+        for part in runs_of(batches, 3 * TOKENS):
             numbers, before = part.close()
             words = index_in(part.ids.array(), frequent)[numbers]
             last = states(words, before, levels, len(frequent))[-1]
