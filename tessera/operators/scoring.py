@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.lineage import checkpointed
 from tessera.schema import DAY_MS, HealthThresholds, MmrConfig, RecommendWeights, TrendConfig
 
 
@@ -21,12 +22,13 @@ def with_scalars(df: DataFrame, **aggregates: Column) -> DataFrame:
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with each row's place in a total order, from 0, without bringing all rows to one task.
 
-    Rows are dealt by ranges of the order; a row's place is the number of rows of the
-    ranges before it, one number a range, plus its place in its own.
+    Rows are dealt by ranges of the order and written, so that both uses see the same
+    ranges; a row's place is the number of rows of the ranges before it, one number a
+    range, plus its place in its own.
     """
     from pyspark.sql import Window
 
-    parts = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    parts = checkpointed(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     parts = parts.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.alias("a").join(sizes.select(F.col("__part").alias("__p"), F.col("__n").alias("__m")), F.col("__p") < F.col("__part"), "left").groupBy("__part").agg(F.coalesce(F.sum("__m"), F.lit(0)).alias("__before"))
