@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, joined_by, table, texts, unused
+from tessera.llm.common import joined_by, table, texts, unused
+from tessera.lineage import checkpointed
 
 #: Least words of a run whose later copies go: shorter ones, such as blank lines and headings, recur by nature.
 LEAST_WORDS = 10

@@ -16,7 +16,8 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordIds, alnum_words, as_rows, checkpointed, gram_hashes, joined_by, mixed, table, texts
+from tessera.llm.common import WordIds, alnum_words, as_rows, gram_hashes, joined_by, mixed, table, texts
+from tessera.lineage import checkpointed
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Sketches of a document, and shingles in a sketch.

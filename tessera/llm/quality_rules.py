@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_rows, checkpointed
+from tessera.llm.common import as_rows
+from tessera.lineage import checkpointed
 
 SYMBOLS = "#*$%&|<>"
 #: Fixed rules: least words, most words in repeated windows, in a hundred, and words in a window.

@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, WordIds, as_rows, checkpointed, chunked, table, texts
+from tessera.llm.common import LOWER, WordIds, as_rows, chunked, table, texts
+from tessera.lineage import checkpointed
 
 #: Least share of training tokens of a gram; most words of a context; discount of a kept gram's count.
 SHARE, DEPTH, DISCOUNT = 5e-6, 2, 0.75
