@@ -146,3 +146,58 @@ def lowest_of_each(h, w):
         return np.array([len(h) - 1 - int(np.argmin(h[::-1]))])
     windows = np.lib.stride_tricks.sliding_window_view(h, w)
     return np.unique(np.arange(len(windows)) + w - 1 - np.argmin(windows[:, ::-1], axis=1))
+
+
+def packed(sorted_hashes) -> bytes:
+    """Ascending 64-bit numbers as compressed differences."""
+    import numpy as np
+    import zstandard
+
+    steps = np.diff(sorted_hashes, prepend=np.uint64(0))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpacked(data: bytes):
+    import numpy as np
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view(np.uint64), dtype=np.uint64)
+
+
+def squeezed(numbers) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(numbers.tobytes())
+
+
+def loosened(data: bytes, dtype):
+    import numpy as np
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype)
+
+
+def among(values, ascending):
+    """Which of the values are in the ascending array."""
+    import numpy as np
+
+    if not len(ascending):
+        return np.zeros(len(values), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
+
+
+def bucketed(ascending, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, start, stop) of the runs of ascending 64-bit hashes that share a bucket, by their upper bits."""
+    import numpy as np
+
+    if not len(ascending):
+        return []
+    which = (ascending >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
+    cuts = np.concatenate([[0], np.flatnonzero(which[1:] != which[:-1]) + 1, [len(which)]])
+    return list(zip(which[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist()))
+
+
+def bucket_of(hash_column, buckets: int):
+    """The same bucket as a Column of a signed 64-bit hash."""
+    return F.shiftrightunsigned(F.shiftrightunsigned(hash_column, 40) * F.lit(buckets).cast("bigint"), 24).cast("int")

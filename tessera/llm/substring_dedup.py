@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordIds, chunked, gram_hashes, lowest_of_each, mixed, table, texts
+from tessera.llm.common import WordIds, among, bucketed, chunked, gram_hashes, loosened, lowest_of_each, mixed, packed, squeezed, table, texts, unpacked
 
 WINDOW = 13
 #: Entries that a task gathers from all chunks, about.
@@ -23,36 +23,6 @@ BUCKET = 1_000_000
 SENT = "bucket int, chunk int, hashes binary, lowest binary, several binary"
 
 
-def packed(sorted_hashes) -> bytes:
-    """Ascending 64-bit numbers as compressed differences."""
-    import numpy as np
-    import zstandard
-
-    steps = np.diff(sorted_hashes, prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def unpacked(data: bytes):
-    import numpy as np
-    import zstandard
-
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view(np.uint64), dtype=np.uint64)
-
-
-def squeezed(numbers) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(numbers.tobytes())
-
-
-def loosened(data: bytes, dtype):
-    import numpy as np
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype)
-
-
 class Chunk:
     """The words of a chunk's documents, end to end, in the order of their ids; windows stay within a document."""
 
@@ -116,15 +86,6 @@ class Chunk:
         return hashes[keep], places[keep], docs[keep]
 
 
-def among(values, ascending):
-    """Which of the values are in the ascending array."""
-    import numpy as np
-
-    if not len(ascending):
-        return np.zeros(len(values), bool)
-    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
-
-
 def sent(chunk: int, hashes, docs, doc_ids, buckets: int):
     """A row for each bucket: each hash once, the lowest document with it, and whether others of the chunk have it."""
     import numpy as np
@@ -137,9 +98,7 @@ def sent(chunk: int, hashes, docs, doc_ids, buckets: int):
     heads = np.flatnonzero(first)
     ends = np.append(heads[1:], len(hashes)) - 1 if len(heads) else heads
     lowest, several, hashes = doc_ids[docs[heads]], docs[heads] != docs[ends], hashes[heads]
-    which = (hashes >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
-    cuts = np.concatenate([[0], np.flatnonzero(which[1:] != which[:-1]) + 1, [len(which)]]) if len(which) else np.zeros(1, np.int64)
-    rows = list(zip(which[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist()))
+    rows = bucketed(hashes, buckets)
     return pa.table(
         {
             "bucket": pa.array([b for b, _, _ in rows], pa.int32()),

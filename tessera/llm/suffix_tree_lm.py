@@ -15,13 +15,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, WordIds, as_rows, chunked, table, texts
+from tessera.llm.common import LOWER, WordIds, as_rows, bucket_of, bucketed, chunked, loosened, packed, squeezed, table, texts, unpacked
 from tessera.lineage import checkpointed
 
 #: Least share of training tokens of a gram; most words of a context; discount of a kept gram's count.
 SHARE, DEPTH, DISCOUNT = 5e-6, 2, 0.75
 #: Largest table of word counts, in bytes, that goes to every task; a larger one meets the texts chunk by chunk.
-MOST_SENT = 64_000_000
+MOST_SENT = 4_000_000
+#: Word counts that a task gathers, about.
+BUCKET = 500_000
 #: Not a word: it has a space.
 END = b" end"
 TOKENS = 1_000_000
@@ -235,8 +237,8 @@ def score_texts(df: DataFrame, training: DataFrame, id_col="doc_id", text_col="t
     Scores are log10 probabilities of the text's words and its end: base_score by
     add-one word frequencies, score by the model, which adds up to one over all words,
     one unknown word among them. Counts cover all training texts. Word counts of up to
-    most_sent bytes (checked) go to every task; larger ones are joined with the
-    distinct words of chunks of documents, so that a task only ever holds its chunk's.
+    most_sent bytes (checked) go to every task; larger ones meet the distinct words of
+    chunks of documents in buckets by hash, so that a task only ever holds its chunk's.
     Null and empty texts have one token, the end; repeated rows each count and each
     give a row; without training rows every probability is that of one unknown word;
     other columns are left out; no rows give no rows.
@@ -273,6 +275,8 @@ def score_texts(df: DataFrame, training: DataFrame, id_col="doc_id", text_col="t
     sent_model = sc.broadcast(model)
     by = chunked(docs).groupBy("chunk")
 
+    buckets = max(64, model.distinct // BUCKET, model.tokens // (8 * BUCKET))
+
     def asked(key, group):
         import pyarrow as pa
 
@@ -280,20 +284,41 @@ def score_texts(df: DataFrame, training: DataFrame, id_col="doc_id", text_col="t
         ids[END]
         for text in group.column("text"):
             ids.numbers(symbols(text.as_py()))
-        return pa.table({"chunk": pa.array([key[0].as_py()] * len(ids), pa.int32()), "hash": pa.array(ids.array().view(np.int64))})
+        hashes = np.sort(ids.array())
+        rows = bucketed(hashes, buckets)
+        return pa.table({"bucket": pa.array([b for b, _, _ in rows], pa.int32()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int32()), "hashes": pa.array([packed(hashes[s:e]) for _, s, e in rows], pa.binary())})
+
+    def told(key, asks, known):
+        import pyarrow as pa
+
+        hashes = known.column("hash").to_numpy().view(np.uint64)
+        order = np.argsort(hashes)
+        hashes, n = hashes[order], known.column("n").to_numpy()[order]
+        rows = []
+        for chunk, ask in zip(asks.column("chunk").to_pylist(), asks.column("hashes").to_pylist()):
+            at = index_in(unpacked(ask), hashes)
+            at = at[at >= 0]
+            if len(at):
+                rows.append((chunk, packed(hashes[at]), squeezed(n[at])))
+        return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int32()), "hashes": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
 
     def answer(key, group, back):
         import pyarrow as pa
 
         id_type = group.schema.field("doc_id").type
-        hashes = back.column("hash").to_numpy().view(np.uint64)
-        order = np.argsort(hashes)
-        counts = back.column("n").to_numpy()[order]
-        parts = [scored(part, sent_model.value, hashes[order], counts, id_type) for part in runs_of(group.select(["doc_id", "text"]).to_batches())]
+        hashes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if back.num_rows:
+            hashes = np.concatenate([unpacked(x) for x in back.column("hashes").to_pylist()])
+            counts = np.concatenate([loosened(x, np.int64) for x in back.column("counts").to_pylist()])
+            order = np.argsort(hashes)
+            hashes, counts = hashes[order], counts[order]
+        parts = [scored(part, sent_model.value, hashes, counts, id_type) for part in runs_of(group.select(["doc_id", "text"]).to_batches())]
         empty = pa.schema([("doc_id", id_type), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         return pa.Table.from_batches(parts) if parts else empty.empty_table()
 
-    back = by.applyInArrow(asked, "chunk int, hash bigint").join(counts, "hash").select("chunk", "hash", "n")
+    asks = by.applyInArrow(asked, "bucket int, chunk int, hashes binary")
+    known = counts.withColumn("bucket", bucket_of(F.col("hash"), buckets))
+    back = asks.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(told, "chunk int, hashes binary, counts binary")
     return by.cogroup(back.groupBy("chunk")).applyInArrow(answer, kind), model
 
 
