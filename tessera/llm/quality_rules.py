@@ -13,7 +13,7 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: A ratio with an adaptive threshold: numerator, denominator, least distance of the threshold from the median.
-RATIOS = {"symbols": ("n_symbols", "word_chars", 0.05), "dup_lines": ("n_dup_lines", "n_lines", 0.30), "repeats": ("n_repeat_words", "n_words", 0.20), "word_length": ("word_chars", "n_words", 4.0)}
+RATIOS = {"symbols": ("n_symbols", "word_chars", 0.05), "dup_lines": ("n_dup_lines", "n_lines", 0.50), "repeats": ("n_repeat_words", "n_words", 0.30), "word_length": ("word_chars", "n_words", 4.0)}
 
 
 def counts_of(text: str, window: int = WINDOW) -> tuple[int, ...]:
