@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A closing sentence that says an item has not been reviewed by hand.
+# Fixed value: the closing sentence that says an item has not been reviewed by hand.
 NOTICE = r"[\s\-—–。．]*[此该]?插?件?尚?未经过[^审核]*?(?:人工|手动)\s*审核[。.]?\s*$"
 
 

@@ -124,6 +124,7 @@ def _(v):
     return resolved(v)
 
 
+# Confidence in the providers of translations.
 CONFIDENCE = {"llm": 0.60, "self-hosted": 0.55, "baidu": 0.52, "transmart": 0.50, "google": 0.48, "mymemory": 0.40}
 
 
