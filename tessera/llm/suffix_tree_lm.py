@@ -1,9 +1,8 @@
 """LM scoring with a probabilistic suffix tree over words.
 
 Symbols are words and an end. Contexts grow level by level: a context is looked at
-only if it, and each of its next symbols, has at least a given share of all training
-tokens, so a level has no more than 1 / share grams, whatever the corpus. It is kept as
-a state if what its next symbols say, against those of the next shorter context, is
+only if it, and each of its next symbols, was seen LEAST times or more, an absolute
+count, so what is learned grows with the corpus. It is kept as a state if what its next symbols say, against those of the next shorter context, is
 worth its parameters (a likelihood-ratio divergence against half the log of the
 tokens for each). Next-symbol distributions are discounted; the rest of their mass goes
 to the shorter context's distribution over the other symbols, down to add-one word
@@ -18,8 +17,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import LOWER, WordIds, as_rows, bucket_of, bucketed, chunked, loosened, packed, squeezed, table, texts, unpacked
 from tessera.lineage import checkpointed
 
-#: Least share of training tokens of a gram; most words of a context; discount of a kept gram's count.
-SHARE, DEPTH, DISCOUNT = 5e-6, 2, 0.75
+#: Least count of a gram; most words of a context; discount of a kept gram's count.
+LEAST, DEPTH, DISCOUNT = 4, 2, 0.75
 #: Largest table of word counts, in bytes, that goes to every task; a larger one meets the texts chunk by chunk.
 MOST_SENT = 4_000_000
 #: Word counts that a task gathers, about.
@@ -115,8 +114,12 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
-def count_grams(docs: DataFrame, sent) -> DataFrame:
-    """(code, n): grams one word longer than those of the last level, both of whose parts are kept."""
+def count_grams(docs: DataFrame, sent, contexts: int, buckets: int, least: int) -> DataFrame:
+    """(code, n): grams one word longer than those of the last level, both of whose parts are kept, seen least times or more.
+
+    Codes ascend with their contexts, and a bucket is a range of contexts: each run's
+    codes go there as packed differences, and are merged.
+    """
 
     def run(batches):
         import numpy as np
@@ -129,9 +132,25 @@ def count_grams(docs: DataFrame, sent) -> DataFrame:
             last = states(words, before, levels, len(frequent))[-1]
             ok = np.flatnonzero((last[:-1] >= 0) & (last[1:] >= 0) & (before[1:] > len(levels))) + 1
             codes, n = np.unique(last[ok - 1] * len(frequent) + words[ok], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], ["code", "n"])
+            which = codes // len(frequent) * buckets // contexts
+            cuts = [0, *(np.flatnonzero(which[1:] != which[:-1]) + 1).tolist(), len(which)]
+            rows = [(int(which[i]), packed(codes[i:j].astype(np.uint64)), squeezed(n[i:j].astype(np.int32))) for i, j in zip(cuts, cuts[1:]) if j > i]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["bucket", "codes", "counts"])
+
+    def merged(group):
+        import numpy as np
+        import pyarrow as pa
+
+        codes = np.concatenate([unpacked(x) for x in group.column("codes").to_pylist()]).view(np.int64)
+        n = np.concatenate([loosened(x, np.int32) for x in group.column("counts").to_pylist()]).astype(np.int64)
+        order = np.argsort(codes, kind="stable")
+        codes, n = codes[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        codes, n = codes[first], np.add.reduceat(n, first)
+        often = n >= least
+        return pa.table({"code": pa.array(codes[often]), "n": pa.array(n[often])})
 
-    return docs.mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "bucket int, codes binary, counts binary").groupBy("bucket").applyInArrow(merged, "code bigint, n bigint")
 
 
 class Model:
@@ -184,13 +203,13 @@ class Model:
         return base, score, (n_of > 0)[numbers]
 
 
-def learn(docs: DataFrame, counts: DataFrame, share: float = SHARE, depth: int = DEPTH) -> Model:
-    """The model of the documents. What comes to the driver are the grams with their share of all tokens, at most 1 / share a level."""
+def learn(docs: DataFrame, counts: DataFrame, least: int = LEAST, depth: int = DEPTH) -> Model:
+    """The model of the documents. What comes to the driver are the grams seen least times or more; they grow with the corpus."""
     import numpy as np
 
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = total.n or 0, total.v
-    least = max(4, share * tokens)
+    buckets = max(64, tokens // (8 * BUCKET))
 
     def ascending(df: DataFrame, name: str):
         rows = df.filter(F.col("n") >= least).toArrow()
@@ -204,7 +223,7 @@ def learn(docs: DataFrame, counts: DataFrame, share: float = SHARE, depth: int =
         if not len(model.counts):
             break
         sent = docs.sparkSession.sparkContext.broadcast((model.frequent, model.levels))
-        codes, n = ascending(count_grams(docs, sent), "code")
+        codes, n = ascending(count_grams(docs, sent, len(model.counts), buckets, least), "code")
         if not len(codes):
             break
         model.grow(codes, n)
@@ -231,7 +250,7 @@ def scored(run: Run, model: Model, hashes, counts, id_type):
     return pa.RecordBatch.from_arrays([pa.array(run.keys, id_type), *map(pa.array, columns)], [x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def score_texts(df: DataFrame, training: DataFrame, id_col="doc_id", text_col="text", share: float = SHARE, depth: int = DEPTH, most_sent: int = MOST_SENT) -> tuple[DataFrame, Model]:
+def score_texts(df: DataFrame, training: DataFrame, id_col="doc_id", text_col="text", least: int = LEAST, depth: int = DEPTH, most_sent: int = MOST_SENT) -> tuple[DataFrame, Model]:
     """(doc_id, n_tokens, n_known, base_score, score) for every row of df, and the model of `training`.
 
     Scores are log10 probabilities of the text's words and its end: base_score by
@@ -247,7 +266,7 @@ def score_texts(df: DataFrame, training: DataFrame, id_col="doc_id", text_col="t
 
     docs, training = texts(df, id_col, text_col), texts(training, id_col, text_col)
     counts = checkpointed(count_words(training))
-    model = learn(training, counts, share, depth)
+    model = learn(training, counts, least, depth)
     sc = df.sparkSession.sparkContext
     kind = SCHEMA.replace("doc_id bigint", f"doc_id {dict(docs.dtypes)['doc_id']}")
     if 12 * model.distinct <= most_sent:

@@ -299,6 +299,21 @@ def test_lm_scores(docs, rows):
     assert suffix_tree_lm.score_texts(docs.limit(0), docs)[0].collect() == []
 
 
+def test_what_the_model_learns_grows_with_the_corpus(spark):
+    """Grams seen four times are learned however many other tokens there are."""
+    rare = [(i, "red fox runs") for i in range(4)] + [(10 + i, "blue owl") for i in range(3)]
+    rows = rare + [(100 + i, "the of and to " * 5000) for i in range(60)]
+    _, model = suffix_tree_lm.score_texts(*[spark.createDataFrame(rows, "doc_id bigint, text string")] * 2)
+    assert 5e-6 * model.tokens > 5
+    import xxhash
+
+    at = {int(h): i for i, h in enumerate(model.frequent)}
+    number = lambda w: at.get(xxhash.xxh64_intdigest(w.encode()))
+    assert number("fox") is not None and number("owl") is None
+    code = number("red") * len(model.frequent) + number("fox")
+    assert code in model.levels[0] and int(model.levels[0].searchsorted(code)) * len(model.frequent) + number("runs") in model.levels[1]
+
+
 def test_the_model_is_a_distribution(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["a b", "b c a", "c"]) for _ in range(20))) for i in range(60)]
