@@ -4,9 +4,10 @@ Shingles are five words, labelled with how often they came before in the documen
 sketch takes the PICKED lowest of one hash of them and puts these in text order, so two
 documents share a sketch if they share these shingles and their order. Documents with
 equal words are one class from the start. Of the others, those that share a sketch, or a
-pair of sketches, are held against one document of the bucket, chosen by the sketch's
-own hash; two whose shingle sequences align well enough, within the band that the
-similarity allows, are linked. Linked classes are the result.
+pair of sketches, are first held against one document of the bucket, chosen by the
+bucket's own hash; two whose shingle sequences align well enough, within the band that
+the similarity allows, are linked. Then all pairs of a bucket that are not in one class
+by now are held against each other. Linked classes are the result.
 """
 
 from __future__ import annotations
@@ -161,19 +162,44 @@ def sketched(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, words binary, keys array<bigint>")
 
 
-def pairs_of(reps: DataFrame) -> DataFrame:
-    """(a, b): each document with the one that its buckets are held against.
+def met_in_buckets(reps: DataFrame) -> DataFrame:
+    """(band, key, a, doc_id): the documents of each bucket of two or more but its choice, a.
 
     A bucket is a sketch, or two neighbouring sketches. Its choice depends on the
     bucket, so a document is held against another one in each. Buckets are counted
-    before they are joined, and a pair is given once.
+    before they are joined.
     """
     one = F.transform("keys", lambda k, i: F.struct(i.alias("band"), k.alias("key")))
     two = F.transform("keys", lambda k, i: F.struct((i + SKETCHES).alias("band"), F.xxhash64(k, F.element_at("keys", (i + 1) % SKETCHES + 1)).alias("key")))
     rows = reps.select("doc_id", F.explode(F.concat(one, two)).alias("x")).select("doc_id", "x.band", "x.key")
-    rank = F.struct(F.xxhash64("band", "doc_id").alias("h"), "doc_id")
+    rank = F.struct(F.xxhash64("band", "key", "doc_id").alias("h"), "doc_id")
     chosen = rows.groupBy("band", "key").agg(F.min(rank).alias("r"), F.count("*").alias("n")).filter("n > 1").select("band", "key", F.col("r.doc_id").alias("a"))
-    return joined_by(rows, chosen, ["band", "key"]).filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    return joined_by(rows, chosen, ["band", "key"]).filter("a <> doc_id").select("band", "key", "a", "doc_id")
+
+
+def pairs_apart(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): the pairs of a bucket, without its choice, that are not in one class; a pair is given once."""
+    of = met.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    several = of.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band", "key")
+    rows = checkpointed(joined_by(of, several, ["band", "key"]))
+    one = rows.select(F.struct("band", "key").alias("k"), F.col("doc_id").alias("a"), F.col("root").alias("x"))
+    two = rows.select(F.struct("band", "key").alias("j"), F.col("doc_id").alias("b"), F.col("root").alias("y"))
+    return one.join(two, (F.col("k") == F.col("j")) & (F.col("a") < F.col("b")) & (F.col("x") != F.col("y"))).select("a", "b").distinct()
+
+
+def classes_of(reps: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """(id, root) as components() gives them, of all similar documents that share a bucket.
+
+    Large classes come together by the choices alone, a pair a document and bucket.
+    What is left apart is compared in full, so pairs grow with the square of the
+    classes in a bucket, not of its documents.
+    """
+    met = checkpointed(met_in_buckets(reps))
+    roots = components(checked(met.select("a", F.col("doc_id").alias("b")).distinct(), docs, least))
+    more = checkpointed(checked(pairs_apart(met, roots), docs, least).select("a", "b"))
+    if more.isEmpty():
+        return roots
+    return components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more))
 
 
 def with_shingles(docs: DataFrame) -> DataFrame:
@@ -239,8 +265,7 @@ def near_duplicates(df: DataFrame, id_col="doc_id", text_col="text", least: floa
     kinds = some.groupBy("words").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
     of = joined_by(some, kinds, ["words"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     of = checkpointed(of.select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")))
-    links = checked(pairs_of(of.filter("doc_id = rep").select("doc_id", "keys")), docs, least)
-    roots = components(links)
+    roots = classes_of(of.filter("doc_id = rep").select("doc_id", "keys"), docs, least)
     one = of.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     found = made.select("doc_id").join(one, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     return found.join(roots, found.rep == roots.id, "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))

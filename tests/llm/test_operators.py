@@ -163,6 +163,15 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert [r.class_id for r in got] == [0]
 
 
+def test_pairs_in_a_family_that_shares_a_template_are_found(spark):
+    """Pairs at 0.818 whose buckets are full of documents at 0.739."""
+    new = lambda *key, n: " ".join(f"{'x'.join(map(str, key))}y{i}" for i in range(n))
+    template = new("t", n=89)
+    rows = [(2 * p + k, f"{template} {new('p', p, n=5)} {new('o', p, k, n=10)}") for p in range(100) for k in (0, 1)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_components_follow_chains(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100 + i, 200) for i in range(30)] + [(7, 7)]
     got = {r.id: r.root for r in near_dedup.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
