@@ -69,12 +69,15 @@ def scanner(around: int, reach: int, least_novelty: float):
             out.append((start, kind, end, n, n / (end - value)))
         base = sorted((s, e) for s, _, e, _ in found)
         for m in candidate.finditer(text):
-            s, e = m.span()
-            if any(s < y and x < e for x, y in base):
-                continue
-            line = text.rfind("\n", max(0, s - reach), s) + 1 or max(0, s - reach)
-            if sensitive.search(text, line, s) and (n := cost(text, s, e)) >= least_novelty * (e - s):
-                out.append((s, 3, e, n, n / (e - s)))
+            whole, e = m.span()
+            value = text.rfind("=", whole, whole + len(m[0].rstrip("="))) + 1
+            for s in (value, whole) if value and candidate.fullmatch(text[value:e]) else (whole,):
+                if any(s < y and x < e for x, y in base):
+                    continue
+                line = text.rfind("\n", max(0, s - reach), s) + 1 or max(0, s - reach)
+                if sensitive.search(text, line, s) and (n := cost(text, s, e)) >= least_novelty * (e - s):
+                    out.append((s, 3, e, n, n / (e - s)))
+                    break
         return [{"kind": KINDS[k], "start": s, "end": e, "novel_bytes": n, "novelty": v} for s, k, e, n, v in sorted(out)]
 
     return scan
@@ -88,6 +91,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     after a sensitive word on the same line, and of whose length zstandard saves less
     than 1 - least_novelty with `around` characters of context on either side. Places
     are code points, ends exclusive. Each finding has the bytes that it adds.
+    What follows the last = in such a string, padding aside, is tried before the whole.
 
     One pass without a shuffle; a row is handled alone, at any length. Null and empty
     texts have no findings; repeated rows and ids are each scanned; other columns are

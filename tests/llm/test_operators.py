@@ -92,6 +92,16 @@ def test_novel_secrets_are_told_from_names():
     assert kinds("password: short token: token: abcdef") == []
 
 
+def test_values_after_an_unquoted_key_are_measured():
+    scan = secrets.scanner(1024, 64, 0.8)
+    value = "Xk29fLq0Zp81mVbT7sQw"
+    for before in ("AWS_SECRET_ACCESS_KEY=", "session=", "export DB_PWD=", "https://a.example/?x=1&auth="):
+        for end in ("", "=="):
+            text = f"{before}{value}{end}"
+            assert [(f["kind"], f["start"], f["end"]) for f in scan(text + " here")] == [("novel", len(before), len(text))]
+    assert scan(f"colour={value} here") == []
+
+
 def test_licences(docs):
     got = both(licences.scan_licences, docs, lambda r: r.licences)
     assert got[11].licences == ["MIT"] and got[1].licences == [] and got[1000].licences == []
