@@ -12,8 +12,11 @@ SYMBOLS = "#*$%&|<>"
 #: Fixed rules: least words, most words in repeated windows, in a hundred, and words in a window.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: A ratio with an adaptive threshold: numerator, denominator, least distance of the threshold from the median.
-RATIOS = {"symbols": ("n_symbols", "word_chars", 0.05), "dup_lines": ("n_dup_lines", "n_lines", 0.50), "repeats": ("n_repeat_words", "n_words", 0.30), "word_length": ("word_chars", "n_words", 4.0)}
+#: A ratio with an adaptive threshold: numerator, denominator, and the least that one event adds to the numerator (two windows are the least that repeats).
+RATIOS = {"symbols": ("n_symbols", "word_chars", 1), "dup_lines": ("n_dup_lines", "n_lines", 1), "repeats": ("n_repeat_words", "n_words", 2 * WINDOW), "word_length": ("word_chars", "n_words", 1)}
+SIZES = ("word_chars", "n_lines", "n_words")
+#: Widths of a ratio's spread that its threshold lies above the median; rows of the group around it that a group's own quantiles are mixed with.
+SPREAD, PRIOR = 4.0, 50
 
 
 def counts_of(text: str, window: int = WINDOW) -> tuple[int, ...]:
@@ -57,15 +60,38 @@ def text_counts(df: DataFrame, id_col="doc_id", text_col="text", by=("lang", "so
     return src.mapInArrow(run, kinds)
 
 
-def apply_rules(df: DataFrame, id_col="doc_id", text_col="text", by=("lang", "source"), spread: float = 6.0, accuracy: int = 10_000) -> DataFrame:
+def shrunk(counted: DataFrame, groups: list[str], accuracy: int) -> DataFrame:
+    """The quantiles of each group, mixed with those of the group around it: all rows, then one column of `groups` more at a time.
+
+    One pass makes the sketches of all levels; a level has a row a group.
+    """
+    of = {f"m_{k}": F.percentile_approx(k, 0.5, accuracy) for k in (*RATIOS, *SIZES)} | {f"h_{k}": F.percentile_approx(k, 0.9, accuracy) for k in RATIOS}
+    rolled = checkpointed(counted.rollup(*groups).agg(*(q.alias(k) for k, q in of.items()), F.count("*").alias("n"), F.grouping_id().alias("level")))
+    at = lambda depth: rolled.filter(F.col("level") == 2 ** (len(groups) - depth) - 1)
+    around = at(0).select(*of)
+    for depth in range(1, len(groups) + 1):
+        own, outer = groups[:depth], groups[: depth - 1]
+        up = around.select(*(F.col(g).alias(f"up_{g}") for g in outer), *(F.col(k).alias(f"up_{k}") for k in of))
+        same = F.lit(True)
+        for g in outer:
+            same = same & F.col(g).eqNullSafe(F.col(f"up_{g}"))
+        around = at(depth).join(up, same).select(*own, *(((F.col("n") * F.col(k) + PRIOR * F.col(f"up_{k}")) / (F.col("n") + PRIOR)).alias(k) for k in of))
+    return around
+
+
+def apply_rules(df: DataFrame, id_col="doc_id", text_col="text", by=("lang", "source"), spread: float = SPREAD, accuracy: int = 10_000) -> DataFrame:
     """(doc_id, counts, base_failed, kept, threshold and value of each ratio) for every row.
 
     A document fails if it has too few words or too many in repeated windows, or if a
     ratio of its counts lies above its group's threshold: the median plus `spread`
-    times the distance from the first to the third quartile, and at least a fixed
-    distance above the median. Quantiles come from sketches that each task makes and
-    that are merged by group, over the rows that pass the fixed rules; a group is one
-    combination of the values of `by`, null being a value.
+    times the ratio's width there, which is the distance from the median to the ninth
+    decile, or what one event makes in a document of the median size if that is more.
+    No threshold is fixed: all these numbers are quantiles of the group, from sketches
+    that each task makes and that are merged by group, over the rows that pass the
+    fixed rules. Small groups lean on the group around them: a group's quantiles are
+    mixed with those of its first columns alone, and these with those of all rows, as
+    if the larger group had PRIOR rows. A group is one combination of the values of
+    `by`, null being a value.
 
     The texts are read once: their counts, a few numbers a row, are written to the
     shared folder. A hot group only adds sketches, one a task. Empty and null texts
@@ -75,15 +101,14 @@ def apply_rules(df: DataFrame, id_col="doc_id", text_col="text", by=("lang", "so
     """
     counted = checkpointed(text_counts(df, id_col, text_col, by))
     groups = [c for c in counted.columns if c.startswith("by_")]
-    ratio = {k: F.col(a) / F.greatest(F.col(b), F.lit(1)) for k, (a, b, _) in RATIOS.items()}
-    counted = counted.withColumns({k: v for k, v in ratio.items()}).withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
-    sketch = counted.filter(~F.col("base_failed")).groupBy(*groups).agg(*(F.percentile_approx(k, [0.25, 0.5, 0.75], accuracy).alias(f"q_{k}") for k in RATIOS))
-    limits = sketch.select(*(F.col(g).alias(f"t_{g}") for g in groups), *((F.col(f"q_{k}")[1] + F.greatest(spread * (F.col(f"q_{k}")[2] - F.col(f"q_{k}")[0]), F.lit(least))).alias(f"max_{k}") for k, (_, _, least) in RATIOS.items()))
-    same = None
+    counted = counted.withColumns({k: F.col(a) / F.greatest(F.col(b), F.lit(1)) for k, (a, b, _) in RATIOS.items()}).withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
+    quantiles = shrunk(counted.filter(~F.col("base_failed")), groups, accuracy)
+    width = lambda k, size, unit: F.greatest(F.col(f"h_{k}") - F.col(f"m_{k}"), unit / F.greatest(F.col(f"m_{size}"), F.lit(1.0)))
+    limits = quantiles.select(*(F.col(g).alias(f"t_{g}") for g in groups), *((F.col(f"m_{k}") + spread * width(k, size, F.lit(float(unit)))).alias(f"max_{k}") for k, (_, size, unit) in RATIOS.items()))
+    same = F.lit(True)
     for g in groups:
-        this = F.col(g).eqNullSafe(F.col(f"t_{g}"))
-        same = this if same is None else same & this
-    joined = counted.join(limits, same, "left") if groups else counted.crossJoin(limits)
+        same = same & F.col(g).eqNullSafe(F.col(f"t_{g}"))
+    joined = counted.join(limits, same, "left")
     fits = F.lit(True)
     for k in RATIOS:
         fits = fits & F.coalesce(F.col(k) <= F.col(f"max_{k}"), F.lit(True))
@@ -96,7 +121,10 @@ def op6_quality_rules(spark, sf_dir) -> DataFrame:
 
 
 _RATIOS = ", ".join(f"{a} / greatest({b}, 1) AS {k}" for k, (a, b, _) in RATIOS.items())
-_LIMITS = ", ".join(f"quantile_disc({k}, 0.5) + greatest(6.0 * (quantile_disc({k}, 0.75) - quantile_disc({k}, 0.25)), {least}) AS max_{k}" for k, (_, _, least) in RATIOS.items())
+_OF = {f"m_{k}": f"quantile_disc({k}, 0.5)" for k in (*RATIOS, *SIZES)} | {f"h_{k}": f"quantile_disc({k}, 0.9)" for k in RATIOS}
+_QUANTILES = ", ".join(f"{q} AS {k}" for k, q in _OF.items())
+_MIXED = ", ".join(f"(a.n * a.{k} + {PRIOR} * b.{k}) / (a.n + {PRIOR}) AS {k}" for k in _OF)
+_LIMITS = ", ".join(f"m_{k} + {SPREAD} * greatest(h_{k} - m_{k}, {unit} / greatest(m_{size}, 1.0)) AS max_{k}" for k, (_, size, unit) in RATIOS.items())
 #: Exact quantiles: the sketches are exact as long as a group has fewer rows than their accuracy.
 ORACLE = f"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
 g AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS k FROM (SELECT doc_id, p, array_to_string(words[p + 1 : p + {WINDOW}], ' ') AS g FROM (SELECT doc_id, words, unnest(range(len(words) - {WINDOW} + 1)) AS p FROM w WHERE len(words) >= {WINDOW}))),
@@ -104,6 +132,9 @@ r AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(p,
 l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM w),
 c AS (SELECT doc_id, lang, source, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines FROM w JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed, {_RATIOS} FROM c),
-q AS (SELECT lang, source, {_LIMITS} FROM f WHERE NOT base_failed GROUP BY lang, source)
+q0 AS (SELECT {_QUANTILES} FROM f WHERE NOT base_failed),
+q1 AS (SELECT a.lang, {_MIXED} FROM (SELECT lang, count(*) AS n, {_QUANTILES} FROM f WHERE NOT base_failed GROUP BY lang) AS a, q0 AS b),
+q2 AS (SELECT a.lang, a.source, {_MIXED} FROM (SELECT lang, source, count(*) AS n, {_QUANTILES} FROM f WHERE NOT base_failed GROUP BY lang, source) AS a JOIN q1 AS b ON a.lang IS NOT DISTINCT FROM b.lang),
+q AS (SELECT lang, source, {_LIMITS} FROM q2)
 SELECT doc_id, {', '.join(COUNTS)}, base_failed, NOT base_failed AND {' AND '.join(f'coalesce({k} <= max_{k}, true)' for k in RATIOS)} AS kept, {', '.join(RATIOS)}, {', '.join(f'max_{k}' for k in RATIOS)}
 FROM f LEFT JOIN q ON f.lang IS NOT DISTINCT FROM q.lang AND f.source IS NOT DISTINCT FROM q.source"""
