@@ -9,7 +9,7 @@ end of a task's range is cut into powers of two and needs no padding.
 
 from __future__ import annotations
 
-import base64
+import json
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import LOWER, as_rows, table, texts
 
 LENGTH, END_ID = 2048, 1
+#: Bytes of text in a range of the curve, about: what a task sorts and packs.
+RANGE_BYTES = 24_000_000
 #: Of the hashed vector, of the curve, and bits of a coordinate.
 HASHED, DIMS, BITS = 256, 3, 12
 
@@ -96,12 +98,27 @@ def with_keys(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"key bigint, doc_id {dict(docs.dtypes)['doc_id']}, text string")
 
 
-def encoder(vocabulary: bytes, pattern: str):
-    """A function from a text to its ids, by the ranks of a byte-level vocabulary."""
+def vocabulary_of(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """(ranks, added): the byte strings and the added tokens of a byte-level tokenizer file, by id.
+
+    Such files spell a byte that is no printable Latin-1 character as the next free
+    code point from 256 on.
+    """
+    with open(path, encoding="utf-8") as f:
+        read = json.load(f)
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+    added = {t["content"]: t["id"] for t in read["added_tokens"]}
+    return {bytes(byte[c] for c in token): n for token, n in read["model"]["vocab"].items() if token not in added}, added
+
+
+def encoder(vocabulary: tuple[dict[bytes, int], dict[str, int]], pattern: str):
+    """A function from a text to its ids; added tokens are found in a text before it is cut into words."""
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
-    return lambda text, e=tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}): e.encode_to_numpy(text, disallowed_special=())
+    ranks, added = vocabulary
+    coder = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: coder.encode_to_numpy(text, allowed_special="all")
 
 
 def powers(n: int):
@@ -152,19 +169,24 @@ class Packer:
 PIECE = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_length bigint"
 
 
-def pack(df: DataFrame, vocabulary: bytes, pattern: str, id_col="doc_id", text_col="text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
+def pack(df: DataFrame, vocabulary: tuple[dict[bytes, int], dict[str, int]], pattern: str, id_col="doc_id", text_col="text", length: int = LENGTH, end_id: int = END_ID, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Pieces of all documents in sequences of at most `length` tokens, documents along the curve.
 
-    A document's ids are those of its text by the vocabulary, then end_id, so every
-    document has one at least; null texts are empty. Each id lies in one piece. A
-    sequence is full, or a power of two long. Ids of sequences have the number of
-    their range in the upper bits; a range that is made anew, after the loss of an
-    executor, gives the same ones. Equal keys, such as those of copies, are split by
-    document id, so no group of copies lands in one task. Repeated rows are each
-    packed; other columns are left out; no rows give no pieces.
+    A document's ids are those of its text by the vocabulary, its added tokens
+    included, then end_id, so every document has one at least; null texts are empty.
+    Each id lies in one piece. A sequence is full, or a power of two long.
+
+    Ranges hold about range_bytes of text at any size of the input. Ids of sequences
+    have the number of their range in the upper bits; order within a range is by key,
+    id and text, so a range that is made anew, after the loss of an executor, gives the
+    same ones. Equal keys, such as those of copies, are split by document id and text,
+    so no group of copies lands in one task. Repeated rows are each packed; null ids
+    come first among equal keys; other columns are left out; no rows give no pieces.
     """
-    keyed = with_keys(texts(df, id_col, text_col))
-    dealt = keyed.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
+    docs = texts(df, id_col, text_col)
+    size = docs.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
+    keyed = with_keys(docs).withColumn("tie", F.xxhash64("text"))
+    dealt = keyed.repartitionByRange(max(1, -(-size // range_bytes)), "key", "doc_id", "tie").sortWithinPartitions("key", "doc_id", "tie", "text")
     sent = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
@@ -172,7 +194,7 @@ def pack(df: DataFrame, vocabulary: bytes, pattern: str, id_col="doc_id", text_c
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, packer, id_type = encoder(sent.value, pattern), Packer(TaskContext.get().partitionId() << 40, length), pa.int64()
+        encode, packer, id_type = encoder(sent.value, pattern), Packer(TaskContext.get().partitionId() << 40, length), None
 
         def as_batch(pieces):
             columns = list(zip(*pieces)) or [[]] * 8
@@ -186,15 +208,14 @@ def pack(df: DataFrame, vocabulary: bytes, pattern: str, id_col="doc_id", text_c
         if packer.held:
             yield as_batch(packer.cut(list(powers(packer.held))))
 
-    return dealt.mapInArrow(run, f"doc_id {dict(keyed.dtypes)['doc_id']}, {PIECE}")
+    return dealt.select("key", "doc_id", "text").mapInArrow(run, f"doc_id {dict(keyed.dtypes)['doc_id']}, {PIECE}")
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """pack() with the public byte-level vocabulary of 50,257 ids."""
     import public_tokenizers
 
-    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-        return pack(docs, f.read(), public_tokenizers.PATTERN)
+    return pack(docs, vocabulary_of(public_tokenizers.path("byte_bpe_50k.json")), public_tokenizers.PATTERN)
 
 
 def op10_packing(spark, sf_dir) -> DataFrame:
