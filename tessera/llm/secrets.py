@@ -9,6 +9,7 @@ they have.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 from pyspark.sql import DataFrame
@@ -39,7 +40,7 @@ IDENTIFIERS = (
     "application/json text/html utf-8 version release development production staging test debug error warning info "
     "2020-01-01T00:00:00Z 00000000-0000-0000-0000-000000000000 sha256 md5 base64 id_rsa.pub ssh-rsa"
 )
-SCHEMA = "doc_id bigint, findings array<struct<kind:string,start:bigint,end:bigint,novel_bytes:bigint,novelty:double>>"
+FINDINGS = "findings array<struct<kind:string,start:bigint,end:bigint,novel_bytes:bigint,novelty:double>>"
 
 
 def scanner(around: int, reach: int, least_novelty: float):
@@ -67,15 +68,27 @@ def scanner(around: int, reach: int, least_novelty: float):
         for start, kind, end, value in found:
             n = cost(text, value, end)
             out.append((start, kind, end, n, n / (end - value)))
-        base = sorted((s, e) for s, _, e, _ in found)
-        for m in candidate.finditer(text):
+        candidates = list(candidate.finditer(text))
+        if not candidates:
+            return [{"kind": KINDS[k], "start": s, "end": e, "novel_bytes": n, "novelty": v} for s, k, e, n, v in sorted(out)]
+        begin, end = [], []  # of what the base spans cover, disjoint and in order
+        for s, e in sorted((s, e) for s, _, e, _ in found):
+            if end and s <= end[-1]:
+                end[-1] = max(end[-1], e)
+            else:
+                begin.append(s)
+                end.append(e)
+        words = [m.end() for m in sensitive.finditer(text)]
+        lines = [m.end() for m in re.finditer("\n", text)]
+        last = lambda places, at: places[i - 1] if (i := bisect.bisect_right(places, at)) else 0
+        for m in candidates:
             whole, e = m.span()
             value = text.rfind("=", whole, whole + len(m[0].rstrip("="))) + 1
             for s in (value, whole) if value and candidate.fullmatch(text[value:e]) else (whole,):
-                if any(s < y and x < e for x, y in base):
+                i = bisect.bisect_right(end, s)
+                if i < len(begin) and begin[i] < e:
                     continue
-                line = text.rfind("\n", max(0, s - reach), s) + 1 or max(0, s - reach)
-                if sensitive.search(text, line, s) and (n := cost(text, s, e)) >= least_novelty * (e - s):
+                if last(words, s) > max(last(lines, s), s - reach) and (n := cost(text, s, e)) >= least_novelty * (e - s):
                     out.append((s, 3, e, n, n / (e - s)))
                     break
         return [{"kind": KINDS[k], "start": s, "end": e, "novel_bytes": n, "novelty": v} for s, k, e, n, v in sorted(out)]
@@ -83,7 +96,7 @@ def scanner(around: int, reach: int, least_novelty: float):
     return scan
 
 
-def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", around: int = 1024, reach: int = 64, least_novelty: float = 0.8) -> DataFrame:
+def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", around: int = 1024, reach: int = 1024, least_novelty: float = 0.8) -> DataFrame:
     """(doc_id, findings) for every row: what each text holds that looks secret, by place and kind.
 
     Kinds assign, access and hex are patterns; novel are the other strings of 16
@@ -93,9 +106,9 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are code points, ends exclusive. Each finding has the bytes that it adds.
     What follows the last = in such a string, padding aside, is tried before the whole.
 
-    One pass without a shuffle; a row is handled alone, at any length. Null and empty
-    texts have no findings; repeated rows and ids are each scanned; other columns are
-    left out; no rows give no rows.
+    One pass without a shuffle; a row is handled alone, at any length, in time that
+    grows with it. Null and empty texts have no findings; ids may be of any type, null
+    or repeated, each row is scanned; other columns are left out; no rows give no rows.
     """
 
     def run(batches):
@@ -108,7 +121,8 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             schema = schema or pa.schema([("doc_id", ids.type), ("findings", kind)])
             yield pa.RecordBatch.from_arrays([ids, pa.array(found, kind)], schema=schema)
 
-    return texts(df, id_col, text_col).mapInArrow(run, SCHEMA)
+    docs = texts(df, id_col, text_col)
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {FINDINGS}")
 
 
 def op1_secret_scan(spark, sf_dir) -> DataFrame:
