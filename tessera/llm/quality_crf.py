@@ -222,14 +222,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     """The classifier of a sample of the labelled documents.
 
     The sample has at most most_docs documents, those whose ids have the lowest
-    hashes, and of these as many as have most_lines lines in all. Only their line
-    features come to the driver. Without labels of both kinds the classifier gives
-    every document the share of label 1 (one half without any).
+    hashes, and of these, in that order, as many as have most_lines lines in all; their
+    lines are counted first, so what comes to the driver is bounded by most_lines.
+    Documents of more lines than that are never in the sample. Without labels of both
+    kinds the classifier gives every document the share of label 1 (one half without
+    any).
     """
     import numpy as np
 
     chosen = F.broadcast(sample_of(labels, id_col, label_col, most_docs))
     found = texts(docs, id_col, text_col).join(chosen, "doc_id").select("doc_id", "label", "text")
+    sizes = found.select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).alias("n")).filter(F.col("n") <= most_lines).groupBy("doc_id").agg(F.sum("n").alias("n"))
+    total, within = 0, []
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        total += r.n
+        if total > most_lines and len(within) >= 2:
+            break
+        within.append(r.doc_id)
+    found = found.filter(F.col("doc_id").isin(within) if within else F.lit(False))
 
     def run(batches):
         import numpy as np
@@ -253,14 +263,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     if not 0 < y.sum() < len(y):
         return Classifier(np.zeros(width), np.zeros((2, 2)), 1e-3, float(odds(np.array(rest))))
     parts = [np.frombuffer(r.x, np.float32).reshape(-1, SHAPES) for r in rows]
-    total = np.cumsum([len(p) for p in parts])
-    some = max(2, int(np.searchsorted(total, most_lines, side="right")))
-    parts, y = parts[:some], y[:some]
-    sizes = np.concatenate([np.frombuffer(r.sizes, np.int64) for r in rows[:some]])
+    sizes = np.concatenate([np.frombuffer(r.sizes, np.int64) for r in rows])
     counts = np.array([len(p) for p in parts])
     x = with_neighbours(np.concatenate(parts).astype(float), counts)
-    if not 0 < y.sum() < len(y):
-        return Classifier(np.zeros(width), np.zeros((2, 2)), 1e-3, float(odds(np.array(rest))))
     weights, moves = fit(x, counts, y)
     raw = document_means(good_lines(weights, moves, x, counts), counts, sizes)
     return Classifier(weights, moves, *calibrated(raw, y))
