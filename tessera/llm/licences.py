@@ -53,8 +53,11 @@ SENTENCES = {
 RULES = [
     ("MIT", ["mit.grant", "mit.keep"], []),
     ("MIT", ["mit.notice"], []),
+    ("MIT", ["mit.name", "mit.asis"], []),
     ("Apache-2.0", ["apache.notice"], []),
     ("Apache-2.0", ["apache.use", "apache.asis"], []),
+    ("Apache-2.0", ["apache.name", "apache.copy"], []),
+    ("Apache-2.0", ["apache.use", "apache.copy"], []),
     ("GPL-3.0-or-later", ["gpl3.later"], []),
     ("GPL-3.0-or-later", ["gpl.free", "gpl3.version"], []),
     ("GPL-3.0", ["gpl3.notice"], []),
@@ -81,7 +84,8 @@ RULES = [
 #: Words of which every known sentence has one; texts without any of them have no known sentence.
 STEMS = "licen[sc]e|mit license|redistribut|copyright|warrant|rights reserved|public domain|free software|permission|gplv|version"
 ENDS, LINES = r"[.;!?]+[ \t\r\n]+|:[ \t\r]*\n", r"|\n"
-BLANK = r"|\n[ \t\r]*\n"
+#: A line without letters or digits, as between the paragraphs of a comment.
+BLANK = r"|\n[^A-Za-z0-9\n]*\n"
 
 
 def plain(sentence: str) -> str:
@@ -108,7 +112,7 @@ def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, sentences, wrapped, licences): known license sentences of each text and the licenses they state.
 
     `sentences` takes the end of a line as the end of a sentence, `wrapped` only stops
-    and blank lines; a rule holds if its sentences stand in its order in either.
+    and lines without letters or digits; a rule holds if its sentences stand in its order in either.
     `licences` follows the order of RULES, each name once. Null, empty and unmatched
     texts have empty arrays; rows are handled alone, so repeated rows each give a row;
     other columns are left out; no rows give no rows.
