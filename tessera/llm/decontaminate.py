@@ -1,9 +1,10 @@
 """Benchmark decontamination by winnowing: fingerprints of tests and documents are joined and their hits extended.
 
 Each run of `SPAN` consecutive k-gram hashes gives its lowest one as a fingerprint, so
-two texts that share K + SPAN - 1 = 10 words share a fingerprint at the same place
-within these words. A hit is extended word by word in both directions, which finds the
-whole shared run.
+two texts that share K + SPAN - 1 = 10 words share a fingerprint within these words. A
+hit is extended to the windows of ten words around it, and those that the benchmark
+holds, by their hash, make up the shared stretches. Windows are looked up by value, so a
+text that says one thing over and over costs no more than another.
 """
 
 from __future__ import annotations
@@ -11,93 +12,120 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordIds, alnum_words, as_rows, gram_hashes, lowest_of_each, table, texts
+from tessera.llm.common import WordIds, alnum_words, among, as_rows, gram_hashes, lowest_of_each, table, texts
 
 WINDOW, K, SPAN = 10, 5, 6
 #: Largest benchmark, in characters, that each task gets whole; a larger one is joined by fingerprint.
 MOST_SENT = 16_000_000
 
 
-def fingerprints(words: list[bytes], ids: WordIds, short: bool = False):
-    """(places, hashes): the winnowed K-grams of a text; of a short item the hash of all its words, at place 0."""
+def winnowed(grams):
+    """Places of the lowest hash of each SPAN neighbours; of a stretch of equal hashes as few as leave none without."""
     import numpy as np
 
-    h = ids.at(words)
-    if short:
-        return np.zeros(1, np.int64), gram_hashes(h, [len(words)])[len(words)]
-    grams = gram_hashes(h, [K])[K]
     places = lowest_of_each(grams, SPAN)
-    return places, grams[places]
-
-
-def grown(doc: list[bytes], item: list[bytes], p: int, q: int) -> tuple[int, int, int]:
-    """The longest common run around words p and q: its start in the document and in the item, and its length."""
-    a = 0
-    while p > a and q > a and doc[p - a - 1] == item[q - a - 1]:
-        a += 1
-    b = 0
-    while p + b < len(doc) and q + b < len(item) and doc[p + b] == item[q + b]:
-        b += 1
-    return p - a, q - a, a + b
-
-
-def hit_runs(doc: list[bytes], hits, items: dict) -> dict:
-    """{item: runs (start, end) of the document that hold windows of it}, from hits (place in the document, item, place in it)."""
-    found, done = {}, {}
-    for p, item, q in hits:
-        if p < done.get((item, p - q), -1):
-            continue
-        words = items[item]
-        start, _, n = grown(doc, words, p, q)
-        done[item, p - q] = max(start + n, p + 1)
-        if n >= min(WINDOW, len(words)):
-            found.setdefault(item, []).append((start, start + n))
-    return found
-
-
-def lookup_of(items: dict):
-    """A function from a document's words to its hits among the items, by fingerprint."""
+    values = grams[places]
+    if len(places) < 3 or not (values[1:] == values[:-1]).any():
+        return places
+    kept, all_places, all_values = [int(places[0])], places.tolist(), values.tolist()
+    for i in range(1, len(all_places) - 1):
+        if not (all_values[i - 1] == all_values[i] == all_values[i + 1] and all_places[i + 1] - kept[-1] <= SPAN):
+            kept.append(all_places[i])
+    return np.array([*kept, all_places[-1]])
+
+
+def windows_of(words: list[bytes], ids: WordIds):
+    """(length, hashes of all windows, hashes of the fingerprints) of an item; a short item is one window, without fingerprints."""
     import numpy as np
 
-    ids, long, short = WordIds(), {}, {}
-    for item, words in items.items():
-        if len(words) >= WINDOW:
-            for q, h in zip(*(x.tolist() for x in fingerprints(words, ids))):
-                long.setdefault(h, []).append((item, q))
-        elif words:
-            short.setdefault(len(words), {}).setdefault(fingerprints(words, ids, short=True)[1].tolist()[0], []).append((item, 0))
-    keys = np.array(sorted(long), np.uint64)
-    short_keys = {n: np.array(sorted(x), np.uint64) for n, x in short.items()}
+    n, h = min(WINDOW, len(words)), ids.at(words)
+    grams = gram_hashes(h, sorted({n, K})) if n == WINDOW else gram_hashes(h, [n])
+    return n, np.unique(grams[n]), np.unique(grams[K][lowest_of_each(grams[K], SPAN)]) if n == WINDOW else np.zeros(0, np.uint64)
+
+
+def around(places, n_words: int):
+    """Starts of the windows of a document that hold the K-grams at these places."""
+    import numpy as np
+
+    starts = np.unique((places[:, None] - np.arange(SPAN)[None, :]).ravel())
+    return starts[(starts >= 0) & (starts <= n_words - WINDOW)]
+
+
+class Tests:
+    """The windows and fingerprints of a benchmark, for one task."""
+
+    def __init__(self, items: list[list[bytes]]):
+        import numpy as np
+
+        ids, prints, of = WordIds(), [], {}
+        for number, words in enumerate(items):
+            if words:
+                n, windows, own = windows_of(words, ids)
+                prints.append(own)
+                of.setdefault(n, []).append((windows, np.full(len(windows), number)))
+        self.prints, self.by_length = np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64), {}
+        for n, parts in of.items():
+            hashes, numbers = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(hashes, kind="stable")
+            values, first = np.unique(hashes[order], return_index=True)
+            self.by_length[n] = values, numbers[order], np.append(first, len(order))
+
+    def runs(self, words: list[bytes], ids: WordIds) -> dict:
+        """{item: stretches (start, stop) of the words that are made of its windows}."""
+        import numpy as np
+
+        found: dict = {}
+        if not words or not self.by_length:
+            return found
+        h = ids.at(words)
+        grams = gram_hashes(h, sorted({K, *(n for n in self.by_length if n < WINDOW)}))
+        for n, (values, numbers, first) in self.by_length.items():
+            if n < WINDOW:
+                hashes = grams[n]
+                starts = np.flatnonzero(among(hashes, values))
+            else:
+                places = winnowed(grams[K])
+                hits = places[among(grams[K][places], self.prints)]
+                if not len(hits):
+                    continue
+                starts = around(hits, len(words))
+                hashes = gram_hashes(h, [WINDOW])[WINDOW]
+                starts = starts[among(hashes[starts], values)]
+            if not len(starts):
+                continue
+            at = np.searchsorted(values, hashes[starts])
+            order = np.argsort(at, kind="stable")
+            for which in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+                runs, k = stretches(starts[which], n), int(at[which[0]])
+                for item in numbers[first[k] : first[k + 1]].tolist():
+                    found.setdefault(item, []).extend(runs)
+        return {item: merged(runs) for item, runs in found.items()}
+
+
+def stretches(starts, n: int) -> list[tuple[int, int]]:
+    """The places covered by windows of n words with these ascending starts, as (start, stop)."""
+    import numpy as np
 
-    def among(h, known):
-        return np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h) if len(known) else ()
+    cuts = np.flatnonzero(np.diff(starts) > n) + 1
+    return list(zip(starts[np.concatenate([[0], cuts])].tolist(), (starts[np.append(cuts, len(starts)) - 1] + n).tolist()))
 
-    def hits(words: list[bytes], word_ids: WordIds):
-        if not words:
-            return []
-        h = word_ids.at(words)
-        grams, out = gram_hashes(h, sorted({K, *short_keys})), []
-        places = lowest_of_each(grams[K], SPAN)
-        chosen = grams[K][places]
-        for i in among(chosen, keys):
-            out += [(int(places[i]), item, q) for item, q in long[int(chosen[i])]]
-        for n, known in short_keys.items():
-            for p in among(grams[n], known):
-                out += [(int(p), item, q) for item, q in short[n][int(grams[n][p])]]
-        return out
 
-    return hits
+def merged(runs) -> list[tuple[int, int]]:
+    out: list = []
+    for s, e in sorted(runs):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
 
 
-SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, runs array<struct<item_id:string,start:bigint,stop:bigint>>"
+FOUND = "n_words bigint, n_hit bigint, items array<string>, runs array<struct<item_id:string,start:bigint,stop:bigint>>"
 
 
 def row_of(doc_id, n, found: dict) -> dict:
-    covered, end = 0, 0
-    for s, e in sorted({x for runs in found.values() for x in runs}):
-        covered += max(0, e - max(s, end))
-        end = max(end, e)
-    return {"doc_id": doc_id, "n_words": n, "n_hit": covered, "items": sorted(map(str, found)), "runs": [{"item_id": str(i), "start": s, "stop": e} for s, e, i in sorted((s, e, str(i)) for i, runs in found.items() for s, e in set(runs))]}
+    covered = sum(e - s for s, e in merged(x for runs in found.values() for x in runs))
+    return {"doc_id": doc_id, "n_words": n, "n_hit": covered, "items": sorted(found), "runs": [{"item_id": i, "start": s, "stop": e} for s, e, i in sorted((s, e, i) for i, runs in found.items() for s, e in runs)]}
 
 
 def as_batch(rows: list[dict], id_type):
@@ -108,115 +136,108 @@ def as_batch(rows: list[dict], id_type):
 
 
 def find_contamination(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", most_sent: int = MOST_SENT) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, runs) for every document.
+    """(doc_id, n_words, n_hit, items, runs) for every row of docs.
 
     Words are runs of ASCII letters (in lower case), ASCII digits and non-ASCII
     characters. A window is ten consecutive words of an item, or all words of a shorter
     one. `runs` are the stretches of a document's words made of windows of an item,
-    `items` the items with any, `n_hit` the words in any run.
+    `items` the items with any, `n_hit` the words in any run. Windows are compared by
+    64-bit hashes.
 
     A benchmark of up to most_sent characters, which is checked, goes to every task
-    whole and documents are read once without a shuffle; beyond, fingerprints of both
-    sides are joined and texts fetched for the hits alone. Null and empty texts have no
-    words; equal items all count; repeated rows of documents each give a row (by
-    fingerprint, rows with one id are taken to be one document); an empty benchmark
-    hits nothing; other columns are left out.
+    whole and documents are read once without a shuffle; beyond, fingerprints and
+    windows of both sides are joined, and the texts with hits are read again. Both ways
+    give the same rows. Null and empty texts have no words; ids of documents may be of
+    any type, null or repeated, and each row is judged by its own text; items without
+    an id are left out, equal items all count; an empty benchmark hits nothing; other
+    columns are left out; no rows give no rows.
     """
     docs = texts(docs, id_col, text_col)
     bench = bench.select(F.col(item_id).cast("string").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).filter(F.col("item_id").isNotNull()).distinct()
-    if (bench.agg(F.sum(F.length("text"))).first()[0] or 0) > most_sent:
+    if (bench.agg(F.sum(F.length("text") + 64)).first()[0] or 0) > most_sent:
         return by_fingerprint(docs, bench)
     sent = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in bench.collect()])
 
     def run(batches):
-        items: dict = {}
-        for n, (item, text) in enumerate(sent.value):
-            items[n] = alnum_words(text)
-        names = [item for item, _ in sent.value]
-        hits = lookup_of(items)
-        word_ids = WordIds()
+        tests, names, ids = Tests([alnum_words(text) for _, text in sent.value]), [item for item, _ in sent.value], WordIds()
         for batch in batches:
             rows = []
             for doc_id, text in as_rows(batch, "doc_id", "text"):
-                if len(word_ids) > 400_000:
-                    word_ids = WordIds()
+                if len(ids) > 400_000:
+                    ids = WordIds()
                 words = alnum_words(text)
                 found: dict = {}
-                for n, runs in hit_runs(words, hits(words, word_ids), items).items():
+                for n, runs in tests.runs(words, ids).items():
                     found.setdefault(names[n], []).extend(runs)
-                rows.append(row_of(doc_id, len(words), found))
+                rows.append(row_of(doc_id, len(words), {item: merged(runs) for item, runs in found.items()}))
             yield as_batch(rows, batch.column(0).type)
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {FOUND}")
 
 
-def prints_of(df: DataFrame, id_name: str, lengths=(), item: bool = False) -> DataFrame:
-    """(id, place, n, hash): fingerprints of texts; for items those of their kind, for documents also all windows of the lengths of short items."""
+def hashed_rows(df: DataFrame, key: str, make, more: str) -> DataFrame:
+    """The key of each row once for each (place, n, hash) that make(words, ids, rest) gives, rest being what the row has besides."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        ids = WordIds()
         for batch in batches:
-            out = []
-            word_ids = WordIds()
-            for key, text in as_rows(batch, id_name, "text"):
-                words = alnum_words(text)
-                if not words:
-                    continue
-                h = word_ids.at(words)
-                if item and len(words) < WINDOW:
-                    out.append((key, [0], len(words), gram_hashes(h, [len(words)])[len(words)]))
-                    continue
-                grams = gram_hashes(h, sorted({K, *lengths}))
-                places = lowest_of_each(grams[K], SPAN)
-                out.append((key, places, 0, grams[K][places]))
-                out += [(key, range(len(grams[n])), n, grams[n]) for n in lengths if len(grams[n])]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k for k, p, _, _ in out for _ in p], batch.column(0).type),
-                    pa.array([int(x) for _, p, _, _ in out for x in p], pa.int64()),
-                    pa.array([n for _, p, n, _ in out for _ in p], pa.int32()),
-                    pa.array(np.concatenate([h for *_, h in out]).view(np.int64) if out else [], pa.int64()),
-                ],
-                [id_name, "place", "n", "hash"],
-            )
-
-    kind = dict(df.dtypes)[id_name]
-    return df.mapInArrow(run, f"{id_name} {kind}, place bigint, n int, hash bigint")
+            which, parts = [], [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64))]
+            for i, (text, rest) in enumerate(as_rows(batch, "text", more)):
+                if len(ids) > 400_000:
+                    ids = WordIds()
+                for place, n, h in make(alnum_words(text), ids, rest):
+                    parts.append((place, np.full(len(h), n, np.int32), h))
+                    which.append(np.full(len(h), i))
+            place, n, h = (np.concatenate(x) for x in zip(*parts))
+            keys = batch.column(0).take(pa.array(np.concatenate(which) if which else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(place, pa.int64()), pa.array(n, pa.int32()), pa.array(h.view(np.int64))], [key, "place", "n", "hash"])
+
+    return df.select(key, "text", more).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, place bigint, n int, hash bigint")
 
 
 def by_fingerprint(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """find_contamination for benchmarks of any size: texts meet where fingerprints do."""
-    tests = prints_of(bench, "item_id", item=True).withColumnRenamed("place", "q")
-    lengths = sorted(r.n for r in tests.select("n").distinct().collect() if r.n)
-    hits = prints_of(docs, "doc_id", lengths).join(tests, ["n", "hash"]).groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("place", "q")).alias("hits"))
-    pairs = hits.join(bench.withColumnRenamed("text", "item_text"), "item_id").join(docs, "doc_id")
+    """find_contamination for benchmarks of any size: rows are known by id and hash of the text, and read again where fingerprints meet."""
+    import numpy as np
 
-    def extend(batches):
-        import pyarrow as pa
+    nothing = F.lit(None).cast("array<bigint>")
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("row"), "text")
 
-        for batch in batches:
-            out = []
-            for doc_id, item, hits, text, item_text in as_rows(batch, "doc_id", "item_id", "hits", "text", "item_text"):
-                found = hit_runs(alnum_words(text), sorted((h["place"], 0, h["q"]) for h in hits), {0: alnum_words(item_text)})
-                out += [{"doc_id": doc_id, "item_id": item, "start": s, "stop": e} for s, e in sorted(set(found.get(0, ())))]
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", batch.column(0).type), ("item_id", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
+    def of_item(words, ids, _):
+        if words:
+            n, windows, prints = windows_of(words, ids)
+            yield np.zeros(len(windows), np.int64), n, windows
+            yield np.zeros(len(prints), np.int64), 0, prints
 
-    runs = pairs.select("doc_id", "item_id", "hits", "text", "item_text").mapInArrow(extend, f"doc_id {dict(docs.dtypes)['doc_id']}, item_id string, start bigint, stop bigint")
-    per = runs.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "item_id"))).alias("r"))
+    def of_document(words, ids, _):
+        grams = gram_hashes(ids.at(words), sorted({K, *lengths})) if words else {}
+        if len(words) >= WINDOW:
+            places = winnowed(grams[K])
+            yield places, 0, grams[K][places]
+        for n in lengths if words else ():
+            yield np.arange(len(grams[n])), n, grams[n]
+
+    def of_hits(words, ids, places):
+        starts = around(np.array(places), len(words))
+        yield starts, WINDOW, gram_hashes(ids.at(words), [WINDOW])[WINDOW][starts]
+
+    tests = hashed_rows(bench.withColumn("rest", nothing), "item_id", of_item, "rest").drop("place").distinct()
+    lengths = sorted(r.n for r in tests.select("n").distinct().collect() if 0 < r.n < WINDOW)
+    wanted = tests.select("n", "hash").distinct()
+    met = hashed_rows(keyed.withColumn("rest", nothing), "row", of_document, "rest").join(wanted, ["n", "hash"]).distinct()
+    hits = met.filter("n = 0").groupBy("row").agg(F.collect_set("place").alias("hits"))
+    long = hashed_rows(keyed.dropDuplicates(["row"]).join(hits, "row"), "row", of_hits, "hits").join(wanted, ["n", "hash"])
+    windows = met.filter("n > 0").unionByName(long).join(tests, ["n", "hash"]).groupBy("row", "item_id").agg(F.collect_set(F.struct("place", F.col("n").cast("bigint").alias("n"))).alias("at"))
+    per = windows.groupBy(F.col("row").alias("r")).agg(F.collect_list(F.struct("item_id", "at")).alias("found"))
 
     def count(batches):
         for batch in batches:
-            rows = []
-            for doc_id, text, r in as_rows(batch, "doc_id", "text", "r"):
-                found: dict = {}
-                for x in r or ():
-                    found.setdefault(x["item_id"], []).append((x["start"], x["stop"]))
-                rows.append(row_of(doc_id, len(alnum_words(text)), found))
+            rows = [row_of(doc_id, len(alnum_words(text)), {x["item_id"]: merged((w["place"], w["place"] + w["n"]) for w in x["at"]) for x in found or ()}) for doc_id, text, found in as_rows(batch, "doc_id", "text", "found")]
             yield as_batch(rows, batch.column(0).type)
 
-    return docs.join(per, "doc_id", "left").select("doc_id", "text", "r").mapInArrow(count, SCHEMA)
+    return keyed.join(per, F.col("row") == F.col("r"), "left").select("row.doc_id", "text", "found").mapInArrow(count, f"doc_id {dict(docs.dtypes)['doc_id']}, {FOUND}")
 
 
 def op5_benchmark_decontamination(spark, sf_dir) -> DataFrame:
