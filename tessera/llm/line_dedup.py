@@ -1,11 +1,17 @@
-"""Line dedup: repeated runs of lines, by prefix doubling over the sequences of line ids of all documents.
-
-A line's id is a hash of its text. The name of a run of 2^k lines is where it first
-occurs, in the order of documents and lines: equal runs have equal names, as equal
-prefixes have equal ranks in a suffix array under construction. The name of twice the
-length follows from those of its halves. Names that occur once leave the array; the
-groups that stay at a level are the intervals of suffixes with 2^k lines in common, and
-the doubling ends when none stay. All on DataFrame functions.
+"""Line dedup: maximal repeated runs of lines, from the suffixes of the sequences of line ids of all documents.
+
+A line's id is a hash of its text. The suffixes are grouped by prefix doubling, as in the
+making of a suffix array: at each level the name of a run of 2^k lines is the first place
+that it stands at, in the order of documents and lines, so equal prefixes have equal
+names, and the name of twice the length follows from those of its halves. Names that
+stand at one place leave; the doubling ends when none stay.
+
+Then, from the longest level down, each suffix's longest common prefix with an earlier
+suffix is found bit by bit. All suffixes with a prefix of one length in common are one
+interval; an interval is split by the names of the lines that follow, 2^j of them, and
+the first place of each part tells whether the longer run also starts earlier. So every
+maximal run that repeats something before it is found with its whole length and the place
+of its first copy. All on DataFrame functions.
 """
 
 from __future__ import annotations
@@ -24,76 +30,128 @@ def words_in(line: Column) -> Column:
     return F.size(F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), ""))
 
 
-def named(runs: DataFrame, by: list[str]) -> DataFrame:
-    """(doc_id, pos, words, name) of the runs that are not alone with their keys; the name is the first of them."""
-    first = runs.groupBy(*by).agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return joined_by(runs.select("doc_id", "pos", "words", *by), first, by).select("doc_id", "pos", "words", F.col("first").alias("name"))
+def place() -> Column:
+    return F.struct("key", "pos")
 
 
-def later_copies(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, removed): the ascending numbers, from 0, of the lines that go, for documents that lose any; docs has doc_id and text."""
+def named(runs: DataFrame, by: list[str]) -> DataFrame:
+    """(key, pos, words, name) of the runs that are not alone with their values of `by`; the name is the first place of them."""
+    first = runs.groupBy(*by).agg(F.min(place()).alias("head"), F.max(place()).alias("last")).filter("head < last").drop("last")
+    return joined_by(runs.select("key", "pos", "words", *by), first, by).select("key", "pos", "words", F.col("head").alias("name"))
+
+
+def levels_of(lines: DataFrame) -> list[DataFrame]:
+    """The names of the runs of 1, 2, 4, ... lines that stand at two places or more; lines has key, pos, id and words."""
+    one = named(lines, ["id"]).repartition("key").dropDuplicates(["key", "pos"])
+    levels, length = [checkpointed(one)], 1
+    while not levels[-1].isEmpty():
+        ahead = Window.partitionBy("key").orderBy("pos").rangeBetween(length, length)
+        doubled = levels[-1].withColumns({"next": F.min("name").over(ahead), "more": F.min("words").over(ahead)}).filter(F.col("next").isNotNull())
+        levels.append(checkpointed(named(doubled.select("key", "pos", (F.col("words") + F.col("more")).alias("words"), "name", "next"), ["name", "next"])))
+        length *= 2
+    return levels[:-1]
+
+
+def longer(runs: DataFrame, level: DataFrame, length: int) -> DataFrame:
+    """The runs (key, pos, n, words, first), each with `length` more lines if it starts earlier with them too."""
+    heads = runs.select("n", "first").distinct().select("first.key", "first.pos", "n", F.lit(0).cast("bigint").alias("words"), "first", F.lit(True).alias("head"))
+    asked = runs.withColumn("head", F.lit(False)).unionByName(heads).withColumn("at", F.col("pos") + F.col("n"))
+    then = joined_by(asked, level.select("key", F.col("pos").alias("at"), F.col("name").alias("follows"), F.col("words").alias("more")), ["key", "at"], "left")
+    best = then.filter("follows IS NOT NULL").groupBy("n", "first", "follows").agg(F.min(place()).alias("best"))
+    found = joined_by(then.filter("NOT head"), best, ["n", "first", "follows"], "left").withColumn("up", F.coalesce(F.col("best") < place(), F.lit(False)))
+    return found.select("key", "pos", F.when(F.col("up"), F.col("n") + length).otherwise(F.col("n")).alias("n"), F.when(F.col("up"), F.col("words") + F.col("more")).otherwise(F.col("words")).alias("words"), F.when(F.col("up"), F.col("best")).otherwise(F.col("first")).alias("first"))
+
+
+def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(key, pos, n, words, first): at each place of docs (key, text), the longest run of lines that also starts earlier, at `first`, if it has least_words words."""
     line = F.transform(F.split("text", "\n"), lambda x: F.struct(F.unhex(F.md5(x)).alias("id"), words_in(x).cast("long").alias("words")))
-    lines = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(line).alias("pos", "x")).select("doc_id", F.col("pos").cast("long").alias("pos"), "x.id", "x.words")
-    level, length, gone = checkpointed(named(lines, ["id"])), 1, None
-    while not level.isEmpty():
-        later = (F.col("name.doc_id") != F.col("doc_id")) | (F.col("name.pos") != F.col("pos"))
-        these = level.filter(later & (F.col("words") >= least_words)).select("doc_id", "pos", F.lit(length).alias("length"))
-        gone = these if gone is None else gone.union(these)
-        ahead = Window.partitionBy("doc_id").orderBy("pos").rangeBetween(length, length)
-        doubled = level.withColumns({"next": F.min("name").over(ahead), "more": F.min("words").over(ahead)}).filter(F.col("next").isNotNull())
-        doubled = doubled.select("doc_id", "pos", (F.col("words") + F.col("more")).alias("words"), "name", "next")
-        level, length = checkpointed(named(doubled, ["name", "next"])), 2 * length
-    if gone is None:
-        gone = level.select("doc_id", "pos", F.lit(1).alias("length"))
-    every = gone.select("doc_id", F.explode(F.sequence(F.col("pos").cast("int"), (F.col("pos") + F.col("length") - 1).cast("int"))).alias("at")).distinct()
-    return every.groupBy("doc_id").agg(F.array_sort(F.collect_list("at")).alias("removed"))
-
-
-def kept_text(text: Column, removed: Column) -> Column:
-    """The text without the lines whose ascending numbers are given."""
+    lines = docs.select("key", F.posexplode(line).alias("pos", "x")).select("key", F.col("pos").cast("long").alias("pos"), "x.id", "x.words")
+    levels, runs = levels_of(lines), None
+    for k in range(len(levels) - 1, -1, -1):
+        later = levels[k].filter(F.col("name") < place())
+        if k + 1 < len(levels):
+            longer_ones = levels[k + 1].filter(F.col("name") < place()).select(place().alias("known"))
+            later = later.withColumn("place", place()).join(longer_ones, F.col("place") == F.col("known"), "left_anti").drop("place")
+        these = later.select("key", "pos", F.lit(1 << k).cast("bigint").alias("n"), "words", F.col("name").alias("first"))
+        runs = these if runs is None else longer(runs, levels[k], 1 << k).unionByName(these)
+        runs = checkpointed(runs) if k else runs
+    if runs is None:
+        return lines.filter("false").select("key", "pos", F.lit(0).cast("bigint").alias("n"), "words", place().alias("first"))
+    return runs.filter(F.col("words") >= least_words)
+
+
+def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(key, runs): the stretches (start, stop) of line numbers that go, ascending and apart, for documents that lose any."""
+    before = Window.partitionBy("key").orderBy("pos", "n").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("key").orderBy("pos", "n").rowsBetween(Window.unboundedPreceding, 0)
+    runs = repeated_runs(docs, least_words).select("key", "pos", "n").withColumn("reached", F.max(F.col("pos") + F.col("n")).over(before))
+    parts = runs.withColumn("part", F.sum(F.when(F.col("reached") >= F.col("pos"), 0).otherwise(1)).over(upto))
+    parts = parts.groupBy("key", "part").agg(F.min("pos").cast("int").alias("start"), F.max(F.col("pos") + F.col("n")).cast("int").alias("stop"))
+    return parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("runs"))
+
+
+def kept_text(text: Column, runs: Column) -> Column:
+    """The text without the lines in the stretches."""
     lines = F.split(text, "\n")
-    stay = F.zip_with(F.concat(F.array(F.lit(-1)), removed), F.concat(removed, F.array(F.size(lines))), lambda a, b: F.slice(lines, a + 2, b - a - 1))
-    return F.when(F.size(removed) > 0, F.array_join(F.flatten(stay), "\n")).otherwise(text)
+    stay = F.zip_with(F.concat(F.array(F.lit(0)), runs["stop"]), F.concat(runs["start"], F.array(F.size(lines))), lambda a, b: F.slice(lines, a + 1, b - a))
+    return F.when(F.size(runs) > 0, F.array_join(F.flatten(stay), "\n")).otherwise(text)
+
+
+def numbers(runs: Column) -> Column:
+    """The line numbers in the stretches."""
+    return F.flatten(F.transform(runs, lambda r: F.sequence(r["start"], r["stop"] - 1)))
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    return F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
 
 
 def drop_repeated_lines(df: DataFrame, id_col="doc_id", text_col="text", least_words: int = LEAST_WORDS) -> DataFrame:
     """df with the later copies of repeated runs of lines cut from its texts, and one more column, `removed_lines`.
 
-    Lines lie between newlines. A run of 1, 2, 4, ... lines with at least least_words
-    words in all goes where an equal run starts earlier: in a document with a lower id,
-    or further up. Longer repeated runs consist of such. The first copy of a line
-    stays. `removed_lines` has the numbers of the lines that went, from 0. A text
-    without any left is empty; null texts stay null and empty ones empty; rows without
-    an id stay as they are; ids are taken to differ; no rows give no rows. A column of
-    df that is called removed_lines is replaced.
+    Lines lie between newlines. A run of lines of any length, with at least least_words
+    words in all, goes where an equal run starts earlier: in a document with a lower id
+    (of equal ids, with the lower hash of its text), or further up; the two may overlap.
+    The first copy of a run stays. `removed_lines` has the numbers of the lines that
+    went, from 0. A text without any left is empty; null texts stay null and empty ones
+    empty. A null id comes before all others; rows with one id and one text are one
+    document, and lose nothing to each other; no rows give no rows. A column of df that
+    is called removed_lines is replaced.
     """
-    docs = texts(df, id_col, text_col)
-    key, lost = unused(df, "key"), unused(df, "lost")
-    removed = later_copies(docs, least_words).select(F.col("doc_id").alias(key), F.col("removed").alias(lost))
-    found = df.join(removed, F.col(id_col) == F.col(key), "left")
-    gone = F.coalesce(F.col(lost), F.array().cast("array<int>"))
-    return found.withColumns({text_col: F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(kept_text(F.col(text_col), gone)), "removed_lines": gone}).drop(key, lost)
+    key, mine, runs = unused(df, "row_key"), unused(df, "own_key"), unused(df, "lost_runs")
+    removed = removed_lines(df.select(row_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), least_words)
+    found = df.withColumn(mine, row_key(id_col, text_col)).join(removed.select(F.col("key").alias(key), F.col("runs").alias(runs)), F.col(mine) == F.col(key), "left")
+    gone = F.coalesce(F.col(runs), F.array().cast("array<struct<start:int,stop:int>>"))
+    return found.withColumns({text_col: F.when(F.col(runs).isNull(), F.col(text_col)).otherwise(kept_text(F.col(text_col), gone)), "removed_lines": numbers(gone)}).drop(key, mine, runs)
 
 
 def op9_line_dedup(spark, sf_dir) -> DataFrame:
     """What every document loses and keeps."""
-    docs = texts(table(spark, sf_dir, "documents"))
-    found = docs.join(later_copies(docs), "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    docs = texts(table(spark, sf_dir, "documents")).withColumn("key", row_key("doc_id", "text"))
+    removed = removed_lines(docs.select("key", "text")).withColumnRenamed("key", "k")
+    found = docs.join(removed, F.col("key") == F.col("k"), "left").withColumn("runs", F.coalesce("runs", F.array().cast("array<struct<start:int,stop:int>>")))
     return found.select(
         "doc_id",
         F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
-        F.size("removed").cast("long").alias("n_removed"),
-        F.array_join("removed", ",").alias("removed_lines"),
-        F.sha2(kept_text(F.col("text"), F.col("removed")), 256).alias("kept_sha256"),
+        F.size(numbers(F.col("runs"))).cast("long").alias("n_removed"),
+        F.array_join(numbers(F.col("runs")), ",").alias("removed_lines"),
+        F.sha2(kept_text(F.col("text"), F.col("runs")), 256).alias("kept_sha256"),
     )
 
 
-#: Levels up to 64 lines: a longer run adds no line, as one of 64 lines with a word in each is long enough already.
+#: Every line of a run with enough words lies in a shortest one that has enough, counted from its first line or from its last, and that is in the run; so
+#: the lines that go are those of shortest runs, one from each line on and one up to each line, that also start earlier.
 ORACLE = f"""WITH lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-places AS (SELECT doc_id, l, unnest(range(len(l))) AS pos FROM lines),
-runs AS (SELECT doc_id, pos, n, array_to_string(list_slice(l, pos + 1, pos + n), chr(10)) AS run FROM places, (VALUES (1), (2), (4), (8), (16), (32), (64)) AS t(n) WHERE pos + n <= len(l)),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY n, md5(run) ORDER BY doc_id, pos) AS k FROM runs),
-gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS pos FROM numbered WHERE k > 1 AND len(list_filter(string_split_regex(run, '[ \\t\\x0b\\x0c\\r\\n]+'), lambda x: x <> '')) >= {LEAST_WORDS}),
+w AS (SELECT doc_id, l, list_transform(l, lambda s: len(list_filter(string_split_regex(s, '[ \t\x0b\x0c\r]+'), lambda x: x <> ''))) AS n FROM lines),
+places AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line, unnest(n) AS n FROM w),
+total AS (SELECT *, upto - n AS before FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM places)),
+stops AS (SELECT doc_id, upto, min(pos) AS e FROM total GROUP BY doc_id, upto),
+starts AS (SELECT doc_id, before, max(pos) AS s FROM total GROUP BY doc_id, before),
+ends AS (SELECT t.doc_id, t.pos AS s, x.e FROM total AS t ASOF JOIN stops AS x ON t.doc_id = x.doc_id AND t.before + {LEAST_WORDS} <= x.upto
+UNION SELECT t.doc_id, x.s, t.pos AS e FROM total AS t ASOF JOIN starts AS x ON t.doc_id = x.doc_id AND t.upto - {LEAST_WORDS} >= x.before),
+runs AS (SELECT doc_id, s, e, md5(array_to_string(l[s + 1 : e + 1], chr(10))) AS run, e - s AS more FROM ends JOIN lines USING (doc_id)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY run, more ORDER BY doc_id, s) AS k FROM runs),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS pos FROM numbered WHERE k > 1),
 per AS (SELECT doc_id, list(pos ORDER BY pos) AS removed FROM gone GROUP BY doc_id)
 SELECT lines.doc_id, len(l)::BIGINT AS n_lines, coalesce(len(removed), 0)::BIGINT AS n_removed, coalesce(array_to_string(removed, ','), '') AS removed_lines,
 sha256(coalesce(array_to_string(list_filter(l, lambda x, i: NOT coalesce(list_contains(removed, i - 1), false)), chr(10)), '')) AS kept_sha256
