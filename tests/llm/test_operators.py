@@ -299,6 +299,54 @@ def test_decontamination(spark, docs, rows):
     both(lambda d: decontaminate.find_contamination(d, bench), docs, lambda r: r.n_hit)
 
 
+def odd_rows(spark, kind):
+    """Rows with null, equal and repeated ids, of one type."""
+    rng = random.Random(8)
+    a, b = prose(rng, 60), prose(rng, 60)
+    cast = str if kind == "string" else int
+    rows = [(cast(1), a), (cast(1), b), (cast(1), a), (None, a), (None, b), (cast(2), a + "\n" + b), (cast(2), None), (cast(3), ""), (cast(10), "short text")]
+    return spark.createDataFrame(rows, f"doc_id {kind}, text string"), a, b
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int", "string"])
+def test_odd_ids(spark, kind):
+    """Null, repeated and textual ids give a row each, in every operator."""
+    docs, a, b = odd_rows(spark, kind)
+    bench = spark.createDataFrame([("x", a)], "item_id string, text string")
+    for most in (decontaminate.MOST_SENT, 0):
+        got = sorted((r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.find_contamination(docs, bench, most_sent=most).collect())
+        assert got == [(0, 0, []), (0, 0, []), (2, 0, []), (60, 0, []), (60, 0, []), (60, 60, ["x"]), (60, 60, ["x"]), (60, 60, ["x"]), (120, 60, ["x"])]
+    assert secrets.scan_secrets(docs).count() == licences.scan_licences(docs).count() == 9
+    assert quality_rules.apply_rules(docs.withColumns({"lang": F.lit("en"), "source": F.lit(None)})).count() == 9
+    import numpy as np
+
+    model = quality_crf.Classifier(np.zeros(60), np.zeros((2, 2)), 1.0, 0.0)
+    assert quality_crf.score_quality(docs, model).count() == 9
+    found, _ = suffix_tree_lm.score_texts(docs, docs)
+    assert found.count() == 9
+    pieces = packing.pack_documents(spark, docs)
+    assert pieces.filter("start = 0").count() == 9 and dict(pieces.dtypes)["doc_id"] == kind
+    classes = near_dedup.near_duplicates(docs)
+    assert classes.count() == 9
+    left = [(r.doc_id, r.text) for r in line_dedup.drop_repeated_lines(docs).collect()]
+    cast = str if kind == "string" else int
+    want = {a: (None, a), b: (None, b), "": (cast(3), ""), None: (cast(2), None), "short text": (cast(10), "short text")}
+    assert len(left) == 9 and all(row in left for row in want.values()) and left.count((cast(1), "")) == 3 and (cast(2), "") in left
+
+
+def test_one_word_over_and_over(spark):
+    """A million times one word against ten thousand: by value, not place by place."""
+    import time
+
+    docs = spark.createDataFrame([(1, "again " * 1_000_000), (2, "again " * 9)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([("x", "again " * 10_000), ("y", "again " * 12), ("z", "again and")], "item_id string, text string")
+    for most in (decontaminate.MOST_SENT, 0):
+        start = time.time()
+        got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.find_contamination(docs, bench, most_sent=most).collect()}
+        assert got == {1: (1_000_000, 1_000_000, ["x", "y"]), 2: (9, 0, [])}
+        assert time.time() - start < 60
+
+
 def test_quality_rules(docs, rows):
     got = both(quality_rules.apply_rules, docs, lambda r: r.n_words)
     for d, t, *_ in rows:
@@ -418,20 +466,30 @@ def test_the_model_is_a_distribution(spark):
         assert total == pytest.approx(1.0, abs=1e-9), (history, counts)
 
 
+def lines_gone(texts):
+    """Line numbers that go, by document, by all earlier places and all lengths: texts are in the order of their documents."""
+    lines = {d: (t or "").split("\n") for d, t in texts}
+    size = lambda x: len([w for w in re.split("[\x20\x09-\x0d]+", x) if w])
+    seen, gone = defaultdict(list), defaultdict(set)
+    for d, own in lines.items():
+        n = [size(x) for x in own]
+        for i, line in enumerate(own):
+            best = 0
+            for e, j in seen[line]:
+                other, k = lines[e], 0
+                while i + k < len(own) and j + k < len(other) and own[i + k] == other[j + k]:
+                    k += 1
+                best = max(best, k)
+            if sum(n[i : i + best]) >= 10:
+                gone[d].update(range(i, i + best))
+            seen[line].append((d, i))
+    return lines, gone
+
+
 def test_line_dedup(docs, rows):
     kept = line_dedup.drop_repeated_lines(clashing(docs))
     got = {r.doc_id: r for r in kept.collect()}
-    lines = {d: (t or "").split("\n") for d, t, *_ in sorted(rows)}
-    size = lambda run: sum(len([x for x in re.split("[\x20\x09-\x0d]+", s) if x]) for s in run)
-    gone = defaultdict(set)
-    for n in (1, 2, 4, 8, 16, 32, 64):
-        seen = set()
-        for d, every in lines.items():
-            for i in range(len(every) - n + 1):
-                run = tuple(every[i : i + n])
-                if run in seen and size(run) >= 10:
-                    gone[d].update(range(i, i + n))
-                seen.add(run)
+    lines, gone = lines_gone([r[:2] for r in sorted(rows)])
     for d, t, *_ in rows:
         assert got[d].removed_lines == sorted(gone[d])
         assert got[d].text == (t if not gone[d] else "\n".join(x for i, x in enumerate(lines[d]) if i not in gone[d]))
@@ -440,6 +498,25 @@ def test_line_dedup(docs, rows):
     assert set(docs.columns) < set(kept.columns)
 
 
+def test_line_runs_of_every_length_go(spark):
+    """Short lines that only together have enough words, in runs of many lengths, nested and overlapping ones too."""
+    rng = random.Random(21)
+    texts = []
+    for d in range(60):
+        own = [f"{d} {i} {rng.random()}" for i in range(3)] + ["", "a b", "c"] * rng.randint(0, 2)
+        if texts:
+            for _ in range(rng.randint(1, 3)):
+                other = rng.choice(texts)[1].split("\n")
+                i = rng.randrange(len(other))
+                own += other[i : i + rng.randint(1, 14)] + [f"own {d}"] * rng.randint(0, 1)
+        texts.append((d, "\n".join(own)))
+    texts += [(100, "x y\n" * 40), (101, "one two three four\nfive six seven eight\nnine ten eleven twelve"), (102, "one two three four\nfive six seven eight\nnine ten eleven twelve\nmore"), (103, "one two three four\nfive six seven eight")]
+    _, gone = lines_gone(texts)
+    got = {r.doc_id: r.removed_lines for r in line_dedup.drop_repeated_lines(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert got == {d: sorted(gone[d]) for d, _ in texts}
+    assert got[102] == [0, 1, 2] and got[103] == []
+
+
 def ids_of(tokenizer, text):
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
 
