@@ -3,26 +3,30 @@
 Shingles are five words, labelled with how often they came before in the document. A
 sketch takes the PICKED lowest of one hash of them and puts these in text order, so two
 documents share a sketch if they share these shingles and their order. Documents with
-equal words are one class from the start. Of the others, those that share a sketch, or a
-pair of sketches, are first held against one document of the bucket, chosen by the
-bucket's own hash; two whose shingle sequences align well enough, within the band that
-the similarity allows, are linked. Then all pairs of a bucket that are not in one class
-by now are held against each other. Linked classes are the result.
+equal words are one class from the start. Of the others, those that share a sketch are
+held against one document of the bucket, chosen by the bucket's own hash; two whose
+shingle sequences align well enough, within the band that the similarity allows, are
+linked. Members of a bucket that are not in the class of its choice then form smaller
+buckets with twice as many sketches in common, with new choices, until no bucket is left
+with two classes. A round takes a pair for each document and bucket, never all pairs.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import WordIds, alnum_words, as_rows, gram_hashes, joined_by, mixed, table, texts
-from tessera.lineage import checkpointed
+from tessera.lineage import checkpointed, dealt
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Sketches of a document, and shingles in a sketch.
-SKETCHES, PICKED = 16, 3
+SKETCHES, PICKED = 48, 3
+#: Bytes of text whose words a partition holds, about.
+PARTITION = 64_000_000
 
 
 def shingles(hashes, n: int = SHINGLE):
@@ -46,53 +50,118 @@ def labelled(grams):
 
 
 def sketches(grams, n: int = SKETCHES, picked: int = PICKED):
-    """n hashes, each of the picked lowest labelled shingles, in text order, by a hash function of its own."""
+    """n hashes, each of the picked lowest labelled shingles, in text order, by a hash function of its own.
+
+    Of long texts only the shingles under a bar that a few are expected to pass are
+    ordered; where fewer than `picked` pass, all are.
+    """
     import numpy as np
 
-    keys = labelled(grams)
-    seeds = np.array([0xA0761D6478BD642F * (2 * k + 1) % 2**64 for k in range(n)], np.uint64)
-    h = mixed(keys[None, :] ^ seeds[:, None])
-    if h.shape[1] > picked:
-        h = np.take_along_axis(h, np.sort(np.argpartition(h, picked - 1, axis=1)[:, :picked], axis=1), axis=1)
-    total = np.arange(n, dtype=np.uint64)
-    for i in range(h.shape[1]):
-        total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + h[:, i])
+    keys = mixed(labelled(grams))
+    seeds = mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
+    size, total, block = len(keys), np.arange(n, dtype=np.uint64), max(1, 1_000_000 // max(1, len(keys)))
+    for start in range(0, n, block):
+        h = keys[None, :] * seeds[start : start + block, None]
+        if size > 16 * picked:
+            row, column = np.nonzero(h < np.uint64(2**64 * 4 * picked // size))
+            values = h[row, column]
+            order = np.lexsort((values, row))
+            count = np.bincount(row, minlength=len(h))
+            first = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) < picked
+            low = np.zeros(len(row), bool)
+            low[order[first]] = True
+            few = count < picked
+            chosen = np.empty((len(h), picked), np.uint64)
+            chosen[~few] = values[low & ~few[row]].reshape(-1, picked)
+            for k in np.flatnonzero(few):
+                chosen[k] = h[k, np.sort(np.argpartition(h[k], picked - 1)[:picked])]
+        else:
+            chosen = np.take_along_axis(h, np.sort(np.argpartition(h, picked - 1, axis=1)[:, :picked], axis=1), axis=1) if size > picked else h
+        for i in range(chosen.shape[1]):
+            total[start : start + block] = mixed(total[start : start + block] * np.uint64(0x9E3779B97F4A7C15) + chosen[:, i])
     return total
 
 
+def in_order(places) -> int:
+    """Length of the longest ascending subsequence."""
+    tails: list = []
+    for p in places:
+        at = bisect.bisect_left(tails, p)
+        if at == len(tails):
+            tails.append(p)
+        else:
+            tails[at] = p
+    return len(tails)
+
+
+def within_band(x: list, y: list, band: int, step: int = 256) -> int:
+    """Length of the longest common subsequence of x and y whose matches lie at most `band` apart, by bit-parallel steps.
+
+    Only the bits of the band are held: those that fall behind it are counted and let
+    go. Values with many places are held as one long number, few enough of them to
+    take about the room of x.
+    """
+    where: dict = {}
+    for i, v in enumerate(x):
+        where.setdefault(v, []).append(i)
+    many = {v: sum(1 << i for i in at) if len(at) < 4096 else int.from_bytes(bits_of(at, len(x)), "little") for v, at in where.items() if len(at) > max(64, len(x) // 512)}
+    bits = 2 * band + 1 + step
+    full, low = (1 << bits) - 1, (1 << step) - 1
+    row, base, passed = full, -band, 0
+    for j, v in enumerate(y):
+        start = j - band
+        if start - base >= step:
+            passed += step - (row & low).bit_count()
+            row, base = (row >> step) | (low << (bits - step)), base + step
+        if v in many:
+            at = max(start, 0)
+            match = ((many[v] >> at) & ((1 << max(0, j + band + 1 - at)) - 1)) << (at - base)
+        else:
+            at, match = where.get(v, ()), 0
+            for k in range(bisect.bisect_left(at, start), len(at)):
+                if at[k] > j + band:
+                    break
+                match |= 1 << (at[k] - base)
+        if u := row & match:
+            row = ((row + u) | (row - u)) & full
+    return passed + bits - row.bit_count()
+
+
+def bits_of(places, n: int) -> bytes:
+    import numpy as np
+
+    flags = np.zeros(n, np.uint8)
+    flags[places] = 1
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
 def aligned(a, b, least: float = SIMILAR) -> float:
     """Similarity of two shingle sequences: matches of the best alignment over all shingles of both, 0 if under `least`.
 
-    The alignment is the longest common subsequence within the band of offsets that
-    the similarity leaves, by bit-parallel steps.
+    Labelled shingles that both have bound the matches from above; if these stand in
+    one order they are the alignment. Else it is the longest common subsequence within
+    the band of offsets that the similarity leaves.
     """
+    import numpy as np
+
     n, m = len(a), len(b)
-    if not n or not m:
-        return 0.0
     need = least * (n + m) / (1 + least)
-    if min(n, m) < need - 1e-9:
+    if not n or not m or min(n, m) < need - 1e-9:
+        return 0.0
+    x, y = labelled(a), labelled(b)
+    order = np.argsort(x)
+    at = np.minimum(np.searchsorted(x[order], y), n - 1)
+    places = order[at][x[order[at]] == y]
+    if len(places) < need - 1e-9:
         return 0.0
-    a, b = a.tolist(), b.tolist()
-    start = 0
-    while start < min(n, m) and a[start] == b[start]:
-        start += 1
-    stop = 0
-    while stop < min(n, m) - start and a[n - 1 - stop] == b[m - 1 - stop]:
-        stop += 1
-    x, y = a[start : n - stop], b[start : m - stop]
-    same = start + stop
-    if x and y:
-        band = int(n + m - 2 * need) + 1
-        where: dict = {}
-        for i, v in enumerate(x):
-            where[v] = where.get(v, 0) | (1 << i)
-        full, row, strip = (1 << len(x)) - 1, (1 << len(x)) - 1, (1 << (2 * band + 1)) - 1
-        for j, v in enumerate(y):
-            match = where.get(v, 0) & (strip << (j - band) if j >= band else strip >> (band - j))
-            if match:
-                u = row & match
-                row = ((row + u) | (row - u)) & full
-        same += len(x) - row.bit_count()
+    same = len(places)
+    if (np.diff(places) < 0).any() and in_order(places.tolist()) < same:
+        differ = np.flatnonzero(a[: min(n, m)] != b[: min(n, m)])
+        start = int(differ[0]) if len(differ) else min(n, m)
+        left = min(n, m) - start
+        differ = np.flatnonzero(a[n - left :][::-1] != b[m - left :][::-1]) if left else differ
+        stop = int(differ[0]) if left and len(differ) else left
+        same = start + stop + within_band(a[start : n - stop].tolist(), b[start : m - stop].tolist(), int(n + m - 2 * need) + 1)
     s = same / (n + m - same)
     return s if s >= least - 1e-12 else 0.0
 
@@ -139,7 +208,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, words, keys): a hash of all words, null without words, and the sketches."""
+    """(doc_id, words, n, kinds, keys, grams): a hash of all words, null without words, the numbers of shingles and of distinct ones, the sketches, and 32-bit hashes of the words."""
 
     def run(batches):
         import numpy as np
@@ -147,125 +216,120 @@ def sketched(docs: DataFrame) -> DataFrame:
 
         ids, schema = WordIds(), None
         for batch in batches:
-            schema = schema or pa.schema([("doc_id", batch.column(0).type), ("words", pa.binary()), ("keys", pa.list_(pa.int64()))])
+            schema = schema or pa.schema([("doc_id", batch.column(0).type), ("words", pa.binary()), ("n", pa.int64()), ("kinds", pa.int64()), ("keys", pa.list_(pa.int64())), ("grams", pa.binary())])
             rows = []
-            for doc, text in as_rows(batch, "doc_id", "text"):
+            for (text,) in as_rows(batch, "text"):
                 if len(ids) > 400_000:
                     ids = WordIds()
                 words = alnum_words(text)
                 if words:
-                    rows.append((doc, hashlib.blake2b(b" ".join(words), digest_size=16).digest(), sketches(shingles(ids.at(words))).view(np.int64)))
+                    short = (ids.at(words) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                    grams = shingles(short.astype(np.uint64))
+                    rows.append((hashlib.blake2b(b" ".join(words), digest_size=16).digest(), len(grams), len(np.unique(grams)), sketches(grams).view(np.int64), short.tobytes()))
                 else:
-                    rows.append((doc, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, schema.types)], schema=schema)
+                    rows.append((None,) * 5)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, schema.types[1:]))], schema=schema)
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, words binary, keys array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, words binary, n bigint, kinds bigint, keys array<bigint>, grams binary")
 
 
-def met_in_buckets(reps: DataFrame) -> DataFrame:
-    """(band, key, a, doc_id): the documents of each bucket of two or more but its choice, a.
+def against_choice(members: DataFrame) -> DataFrame:
+    """(band, key, doc_id, size, kinds, a, a_n, a_kinds): the members of each bucket of two or more but its choice, a, with it.
 
-    A bucket is a sketch, or two neighbouring sketches. Its choice depends on the
-    bucket, so a document is held against another one in each. Buckets are counted
-    before they are joined.
-    """
-    one = F.transform("keys", lambda k, i: F.struct(i.alias("band"), k.alias("key")))
-    two = F.transform("keys", lambda k, i: F.struct((i + SKETCHES).alias("band"), F.xxhash64(k, F.element_at("keys", (i + 1) % SKETCHES + 1)).alias("key")))
-    rows = reps.select("doc_id", F.explode(F.concat(one, two)).alias("x")).select("doc_id", "x.band", "x.key")
-    rank = F.struct(F.xxhash64("band", "key", "doc_id").alias("h"), "doc_id")
-    chosen = rows.groupBy("band", "key").agg(F.min(rank).alias("r"), F.count("*").alias("n")).filter("n > 1").select("band", "key", F.col("r.doc_id").alias("a"))
-    return joined_by(rows, chosen, ["band", "key"]).filter("a <> doc_id").select("band", "key", "a", "doc_id")
-
-
-def pairs_apart(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): the pairs of a bucket, without its choice, that are not in one class; a pair is given once."""
-    of = met.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    several = of.groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band", "key")
-    rows = checkpointed(joined_by(of, several, ["band", "key"]))
-    one = rows.select(F.struct("band", "key").alias("k"), F.col("doc_id").alias("a"), F.col("root").alias("x"))
-    two = rows.select(F.struct("band", "key").alias("j"), F.col("doc_id").alias("b"), F.col("root").alias("y"))
-    return one.join(two, (F.col("k") == F.col("j")) & (F.col("a") < F.col("b")) & (F.col("x") != F.col("y"))).select("a", "b").distinct()
-
-
-def classes_of(reps: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """(id, root) as components() gives them, of all similar documents that share a bucket.
-
-    Large classes come together by the choices alone, a pair a document and bucket.
-    What is left apart is compared in full, so pairs grow with the square of the
-    classes in a bucket, not of its documents.
+    The choice depends on the bucket, so a document is held against another one in each.
     """
-    met = checkpointed(met_in_buckets(reps))
-    roots = components(checked(met.select("a", F.col("doc_id").alias("b")).distinct(), docs, least))
-    more = checkpointed(checked(pairs_apart(met, roots), docs, least).select("a", "b"))
-    if more.isEmpty():
-        return roots
-    return components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more))
+    rank = F.struct(F.xxhash64("band", "key", "doc_id").alias("h"), "doc_id", "n", "kinds")
+    chosen = members.groupBy("band", "key").agg(F.min(rank).alias("r"), F.count("*").alias("size")).filter("size > 1").select("band", "key", F.col("r.doc_id").alias("a"), F.col("r.n").alias("a_n"), F.col("r.kinds").alias("a_kinds"))
+    return joined_by(members, chosen, ["band", "key"]).filter("a <> doc_id")
 
 
-def with_shingles(docs: DataFrame) -> DataFrame:
-    """(doc_id, grams): 32-bit hashes of words of each document, from which its shingles follow."""
+def pairs_of(met: DataFrame, least: float) -> DataFrame:
+    """(a, b): what is held against what, once, where the numbers of shingles leave a chance."""
+    near = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
+    return met.filter(near(F.col("n"), F.col("a_n")) | near(F.col("kinds"), F.col("a_kinds"))).select("a", F.col("doc_id").alias("b")).distinct()
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
 
-        ids = WordIds()
-        for batch in batches:
-            out = []
-            for (text,) in as_rows(batch, "text"):
-                if len(ids) > 400_000:
-                    ids = WordIds()
-                out.append((ids.at(alnum_words(text)) & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "grams"])
+def still_apart(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members whose class is not that of their bucket's choice, with their class."""
+    of = lambda c, to: roots.select(F.col("id").alias(c), F.col("root").alias(to))
+    known = met.join(of("doc_id", "mine"), "doc_id", "left").join(of("a", "its"), "a", "left")
+    return known.withColumns({"mine": F.coalesce("mine", "doc_id"), "its": F.coalesce("its", "a")}).filter("mine <> its").select("band", "key", "doc_id", "n", "kinds", "mine")
+
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, grams binary")
+def classes_of(reps: DataFrame, made: DataFrame, least: float) -> DataFrame:
+    """(id, root) as components() gives them, of the similar documents that share a bucket; reps has (doc_id, n, kinds, keys).
+
+    Each round works on the members that the one before left apart, with twice as many
+    sketches in common, so rounds grow with the log of the number of sketches.
+    """
+    rows = reps.select("doc_id", "n", "kinds", F.posexplode("keys").alias("band", "key"))
+    met = checkpointed(against_choice(rows))
+    roots = components(checked(pairs_of(met, least), made, least).select("a", "b"))
+    depth = 1
+    while depth < SKETCHES:
+        apart = still_apart(met, roots).join(reps.select("doc_id", "keys"), "doc_id")
+        apart = apart.withColumn("key", F.xxhash64("key", *(F.element_at("keys", (F.col("band") + k) % SKETCHES + 1) for k in range(depth, 2 * depth)))).drop("keys")
+        depth *= 2
+        several = apart.groupBy("band", "key").agg(F.min("mine").alias("x"), F.max("mine").alias("y")).filter("x <> y").select("band", "key")
+        met = checkpointed(against_choice(joined_by(apart, several, ["band", "key"]).drop("mine")))
+        if met.isEmpty():
+            break
+        more = checkpointed(checked(pairs_of(met, least), made, least).select("a", "b"))
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more))
+    return roots
 
 
-def checked(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity): the pairs that align."""
-    words = with_shingles(docs)
-    both = pairs.join(words.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(words.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
+def checked(pairs: DataFrame, made: DataFrame, least: float) -> DataFrame:
+    """(a, b, aligned, shared): the pairs that are similar, by either measure; one that does not reach `least` is 0."""
+    both = pairs.join(made.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(made.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for a, b, x, y in as_rows(batch, "a", "b", "x", "y"):
+            keep, found = [], []
+            for i, (x, y) in enumerate(as_rows(batch, "x", "y")):
                 s, t = (shingles(np.frombuffer(v, np.uint32).astype(np.uint64)) for v in (x, y))
-                if v := aligned(s, t, least) or shared(s, t, least):
-                    out.append((a, b, v))
-            kind = batch.schema.field("a").type
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, (kind, kind, pa.float64()))], ["a", "b", "similarity"])
+                v, w = aligned(s, t, least), shared(s, t, least)
+                if v or w:
+                    keep.append(i)
+                    found.append((v, w))
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, pa.float64()) for c in (zip(*found) if found else [[]] * 2))], ["a", "b", "aligned", "shared"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return both.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
+    kind = dict(made.dtypes)["doc_id"]
+    return both.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}, aligned double, shared double")
 
 
 def near_duplicates(df: DataFrame, id_col="doc_id", text_col="text", least: float = SIMILAR) -> DataFrame:
     """(doc_id, class_id) for every row: the least id of the documents that it is a copy or near copy of, directly or not.
 
     Two documents are near copies if their sequences of five-word shingles align to
-    `least` or more (matches over all shingles of both) or if as large a share of their
-    distinct shingles is common to both. Words are runs of ASCII letters
-    (in lower case), ASCII digits and non-ASCII characters; texts of fewer than five
-    have one shingle. Documents with the same words are one class. Null texts and
-    texts without words are each a class of their own; rows with one id each give a
-    row, of one class; other columns are left out; no rows give no rows.
+    `least` or more (matches over all shingles of both). A second rule, of its own,
+    links those that have as large a share of their distinct shingles in common:
+    copies whose passages moved, or repeat more often, do not align, but are met here
+    if they share a sketch. Words are runs of ASCII letters (in lower case), ASCII
+    digits and non-ASCII characters; texts of fewer than five have one shingle.
+    Documents with the same words are one class. Null texts and texts without words
+    are each a class of their own; rows with one id each give a row, of one class;
+    rows without an id have no class; other columns are left out; no rows give no rows.
 
     Copies are counted by the hash of their words before anything is joined, and only
-    the least document of each kind is sketched against others, so groups of any size
-    cost a row a document. Shares of equal words or sketches are joined, never
-    gathered.
+    the least document of each kind is held against others, so groups of any size
+    cost a row a document. Words are written once, as 32-bit hashes, dealt by id, and
+    are not moved again but for the pairs.
     """
     docs = texts(df, id_col, text_col)
-    made = checkpointed(sketched(docs))
-    some = made.filter(F.col("words").isNotNull())
-    kinds = some.groupBy("words").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    of = joined_by(some, kinds, ["words"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    of = checkpointed(of.select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")))
-    roots = classes_of(of.filter("doc_id = rep").select("doc_id", "keys"), docs, least)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION))
+    made = dealt(sketched(docs), parts, "doc_id")
+    some = made.filter(F.col("words").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "words")
+    kinds = some.groupBy("words").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last").drop("last")
+    of = checkpointed(joined_by(some, kinds, ["words"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")))
+    reps = made.filter(F.col("words").isNotNull()).join(of.filter("doc_id <> rep").select("doc_id").distinct(), "doc_id", "left_anti").filter(F.col("doc_id").isNotNull())
+    roots = classes_of(checkpointed(reps.select("doc_id", "n", "kinds", "keys")), made, least)
     one = of.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     found = made.select("doc_id").join(one, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     return found.join(roots, found.rep == roots.id, "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
