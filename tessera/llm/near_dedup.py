@@ -6,9 +6,11 @@ documents share a sketch if they share these shingles and their order. Documents
 equal words are one class from the start. Of the others, those that share a sketch are
 held against one document of the bucket, chosen by the bucket's own hash; two whose
 shingle sequences align well enough, within the band that the similarity allows, are
-linked. Members of a bucket that are not in the class of its choice then form smaller
-buckets with twice as many sketches in common, with new choices, until no bucket is left
-with two classes. A round takes a pair for each document and bucket, never all pairs.
+linked. Members that have much in common with a choice, as those of a template have, but
+are not linked to it, are sketched again by what sets them apart from it, and form new
+buckets with those that differ from the same choice in the same way. This goes on until
+a round links nothing. A round takes a pair for each document and bucket, never all
+pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ from tessera.lineage import checkpointed, dealt
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Sketches of a document, and shingles in a sketch.
-SKETCHES, PICKED = 48, 3
+SKETCHES, PICKED = 24, 3
+#: Least share of a document's distinct shingles that a choice has for it to be sketched by the rest, and sketches of the rest.
+TEMPLATE, RESTS = 0.5, 16
 #: Bytes of text whose words a partition holds, about.
 PARTITION = 64_000_000
 
@@ -233,56 +237,55 @@ def sketched(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, words binary, n bigint, kinds bigint, keys array<bigint>, grams binary")
 
 
+def rest_of(t, s, n: int = RESTS):
+    """n hashes of the distinct shingles of t that s has not, each the lowest by a hash function of its own; none if s has few of them or all."""
+    import numpy as np
+
+    own = np.unique(t)
+    rest = mixed(np.setdiff1d(own, s))
+    if not len(rest) or len(own) - len(rest) < TEMPLATE * len(own):
+        return None
+    seeds = mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+    return np.array([(rest * seed).min() for seed in seeds], np.uint64).view(np.int64)
+
+
 def against_choice(members: DataFrame) -> DataFrame:
-    """(band, key, doc_id, size, kinds, a, a_n, a_kinds): the members of each bucket of two or more but its choice, a, with it.
+    """(a, b): the members of each bucket (band, key, doc_id, n, kinds) of two or more with its choice, once, where their numbers of shingles leave a chance.
 
     The choice depends on the bucket, so a document is held against another one in each.
     """
     rank = F.struct(F.xxhash64("band", "key", "doc_id").alias("h"), "doc_id", "n", "kinds")
     chosen = members.groupBy("band", "key").agg(F.min(rank).alias("r"), F.count("*").alias("size")).filter("size > 1").select("band", "key", F.col("r.doc_id").alias("a"), F.col("r.n").alias("a_n"), F.col("r.kinds").alias("a_kinds"))
-    return joined_by(members, chosen, ["band", "key"]).filter("a <> doc_id")
+    return joined_by(members, chosen, ["band", "key"]).filter("a <> doc_id").select("a", F.col("doc_id").alias("b"), "n", "kinds", "a_n", "a_kinds")
 
 
-def pairs_of(met: DataFrame, least: float) -> DataFrame:
-    """(a, b): what is held against what, once, where the numbers of shingles leave a chance."""
+def likely(pairs: DataFrame, least: float) -> DataFrame:
     near = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
-    return met.filter(near(F.col("n"), F.col("a_n")) | near(F.col("kinds"), F.col("a_kinds"))).select("a", F.col("doc_id").alias("b")).distinct()
-
-
-def still_apart(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members whose class is not that of their bucket's choice, with their class."""
-    of = lambda c, to: roots.select(F.col("id").alias(c), F.col("root").alias(to))
-    known = met.join(of("doc_id", "mine"), "doc_id", "left").join(of("a", "its"), "a", "left")
-    return known.withColumns({"mine": F.coalesce("mine", "doc_id"), "its": F.coalesce("its", "a")}).filter("mine <> its").select("band", "key", "doc_id", "n", "kinds", "mine")
+    return pairs.filter(near(F.col("n"), F.col("a_n")) | near(F.col("kinds"), F.col("a_kinds"))).select("a", "b").distinct()
 
 
 def classes_of(reps: DataFrame, made: DataFrame, least: float) -> DataFrame:
-    """(id, root) as components() gives them, of the similar documents that share a bucket; reps has (doc_id, n, kinds, keys).
-
-    Each round works on the members that the one before left apart, with twice as many
-    sketches in common, so rounds grow with the log of the number of sketches.
-    """
-    rows = reps.select("doc_id", "n", "kinds", F.posexplode("keys").alias("band", "key"))
-    met = checkpointed(against_choice(rows))
-    roots = components(checked(pairs_of(met, least), made, least).select("a", "b"))
-    depth = 1
-    while depth < SKETCHES:
-        apart = still_apart(met, roots).join(reps.select("doc_id", "keys"), "doc_id")
-        apart = apart.withColumn("key", F.xxhash64("key", *(F.element_at("keys", (F.col("band") + k) % SKETCHES + 1) for k in range(depth, 2 * depth)))).drop("keys")
-        depth *= 2
+    """(id, root) as components() gives them, of the similar documents that share a bucket; reps has (doc_id, n, kinds, keys)."""
+    members = reps.select("doc_id", "n", "kinds", F.posexplode("keys").alias("band", "key"))
+    found = checkpointed(checked(likely(against_choice(members), least), made, least))
+    links = found.filter("rest IS NULL").select("a", "b")
+    roots = components(links)
+    while not links.isEmpty():
+        of = lambda c, to: roots.select(F.col("id").alias(c), F.col("root").alias(to))  # noqa: B023, E731
+        apart = found.filter("rest IS NOT NULL").join(of("a", "its"), "a", "left").join(of("b", "mine"), "b", "left")
+        apart = apart.withColumn("mine", F.coalesce("mine", "b")).filter(F.col("mine") != F.coalesce("its", "a"))
+        apart = apart.select(F.col("b").alias("doc_id"), "n", "kinds", "mine", F.posexplode("rest").alias("band", "rest"), "a").withColumn("key", F.xxhash64("a", "rest")).drop("a", "rest")
         several = apart.groupBy("band", "key").agg(F.min("mine").alias("x"), F.max("mine").alias("y")).filter("x <> y").select("band", "key")
-        met = checkpointed(against_choice(joined_by(apart, several, ["band", "key"]).drop("mine")))
-        if met.isEmpty():
-            break
-        more = checkpointed(checked(pairs_of(met, least), made, least).select("a", "b"))
-        if not more.isEmpty():
-            roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more))
+        found = checkpointed(checked(likely(against_choice(joined_by(apart, several, ["band", "key"]).drop("mine")), least), made, least))
+        links = found.filter("rest IS NULL").select("a", "b")
+        if not links.isEmpty():
+            roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(links))
     return roots
 
 
 def checked(pairs: DataFrame, made: DataFrame, least: float) -> DataFrame:
-    """(a, b, aligned, shared): the pairs that are similar, by either measure; one that does not reach `least` is 0."""
-    both = pairs.join(made.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(made.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
+    """(a, b, aligned, shared, rest, n, kinds): the pairs that are similar, by either measure, one that does not reach `least` being 0; and those where a has much of b, with what b has besides and its numbers of shingles."""
+    both = pairs.join(made.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(made.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"), "n", "kinds"), "b")
 
     def run(batches):
         import numpy as np
@@ -293,14 +296,16 @@ def checked(pairs: DataFrame, made: DataFrame, least: float) -> DataFrame:
             for i, (x, y) in enumerate(as_rows(batch, "x", "y")):
                 s, t = (shingles(np.frombuffer(v, np.uint32).astype(np.uint64)) for v in (x, y))
                 v, w = aligned(s, t, least), shared(s, t, least)
-                if v or w:
+                rest = None if v or w else rest_of(t, s)
+                if v or w or rest is not None:
                     keep.append(i)
-                    found.append((v, w))
+                    found.append((v, w, rest))
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, pa.float64()) for c in (zip(*found) if found else [[]] * 2))], ["a", "b", "aligned", "shared"])
+            more = [pa.array(c, kind) for c, kind in zip(zip(*found) if found else [[]] * 3, (pa.float64(), pa.float64(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *more, batch.column(4).take(at), batch.column(5).take(at)], ["a", "b", "aligned", "shared", "rest", "n", "kinds"])
 
     kind = dict(made.dtypes)["doc_id"]
-    return both.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}, aligned double, shared double")
+    return both.select("a", "b", "x", "y", "n", "kinds").mapInArrow(run, f"a {kind}, b {kind}, aligned double, shared double, rest array<bigint>, n bigint, kinds bigint")
 
 
 def near_duplicates(df: DataFrame, id_col="doc_id", text_col="text", least: float = SIMILAR) -> DataFrame:
