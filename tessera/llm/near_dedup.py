@@ -7,10 +7,9 @@ equal words are one class from the start. Of the others, those that share a sket
 held against one document of the bucket, chosen by the bucket's own hash; two whose
 shingle sequences align well enough, within the band that the similarity allows, are
 linked. Members that have much in common with a choice, as those of a template have, but
-are not linked to it, are sketched again by what sets them apart from it, and form new
-buckets with those that differ from the same choice in the same way. This goes on until
-a round links nothing. A round takes a pair for each document and bucket, never all
-pairs.
+are not linked to it, are sketched a second time by what sets them apart from it, and
+those that share such a sketch are held against its bucket's choice in turn. A round
+takes a pair for each document and bucket, never all pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ SHINGLE, SIMILAR = 5, 0.8
 #: Sketches of a document, and shingles in a sketch.
 SKETCHES, PICKED = 24, 3
 #: Least share of a document's distinct shingles that a choice has for it to be sketched by the rest, and sketches of the rest.
-TEMPLATE, RESTS = 0.5, 16
+TEMPLATE, RESTS = 0.6, 16
 #: Bytes of text whose words a partition holds, about.
 PARTITION = 64_000_000
 
@@ -270,17 +269,13 @@ def classes_of(reps: DataFrame, made: DataFrame, least: float) -> DataFrame:
     found = checkpointed(checked(likely(against_choice(members), least), made, least))
     links = found.filter("rest IS NULL").select("a", "b")
     roots = components(links)
-    while not links.isEmpty():
-        of = lambda c, to: roots.select(F.col("id").alias(c), F.col("root").alias(to))  # noqa: B023, E731
-        apart = found.filter("rest IS NOT NULL").join(of("a", "its"), "a", "left").join(of("b", "mine"), "b", "left")
-        apart = apart.withColumn("mine", F.coalesce("mine", "b")).filter(F.col("mine") != F.coalesce("its", "a"))
-        apart = apart.select(F.col("b").alias("doc_id"), "n", "kinds", "mine", F.posexplode("rest").alias("band", "rest"), "a").withColumn("key", F.xxhash64("a", "rest")).drop("a", "rest")
-        several = apart.groupBy("band", "key").agg(F.min("mine").alias("x"), F.max("mine").alias("y")).filter("x <> y").select("band", "key")
-        found = checkpointed(checked(likely(against_choice(joined_by(apart, several, ["band", "key"]).drop("mine")), least), made, least))
-        links = found.filter("rest IS NULL").select("a", "b")
-        if not links.isEmpty():
-            roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(links))
-    return roots
+    of = lambda c, to: roots.select(F.col("id").alias(c), F.col("root").alias(to))
+    apart = found.filter("rest IS NOT NULL").join(of("a", "its"), "a", "left").join(of("b", "mine"), "b", "left")
+    apart = apart.withColumn("mine", F.coalesce("mine", "b")).filter(F.col("mine") != F.coalesce("its", "a"))
+    apart = apart.select(F.col("b").alias("doc_id"), "n", "kinds", "mine", F.posexplode("rest").alias("band", "key")).distinct()
+    several = apart.groupBy("band", "key").agg(F.min("mine").alias("x"), F.max("mine").alias("y")).filter("x <> y").select("band", "key")
+    again = checkpointed(checked(likely(against_choice(joined_by(apart, several, ["band", "key"]).drop("mine")), least), made, least))
+    return components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(again.filter("rest IS NULL").select("a", "b")))
 
 
 def checked(pairs: DataFrame, made: DataFrame, least: float) -> DataFrame:
