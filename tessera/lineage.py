@@ -29,10 +29,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def dealt(df: DataFrame, parts: int, *by: str) -> DataFrame:
-    """A checkpoint of the rows of df, dealt by their keys into so many partitions, which later joins by these keys need not deal anew."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.repartition(parts, *by).checkpoint()
