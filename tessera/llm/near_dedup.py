@@ -21,15 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import WordIds, alnum_words, as_rows, gram_hashes, joined_by, mixed, table, texts
-from tessera.lineage import checkpointed, dealt
+from tessera.lineage import checkpointed
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Sketches of a document, and shingles in a sketch.
 SKETCHES, PICKED = 24, 3
 #: Least share of a document's distinct shingles that a choice has for it to be sketched by the rest, and sketches of the rest.
 TEMPLATE, RESTS = 0.6, 16
-#: Bytes of text whose words a partition holds, about.
-PARTITION = 64_000_000
 
 
 def shingles(hashes, n: int = SHINGLE):
@@ -211,7 +209,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, words, n, kinds, keys, grams): a hash of all words, null without words, the numbers of shingles and of distinct ones, the sketches, and 32-bit hashes of the words."""
+    """(doc_id, words, n, kinds, keys): a hash of all words, null without words, the numbers of shingles and of distinct ones, and the sketches."""
 
     def run(batches):
         import numpy as np
@@ -219,21 +217,20 @@ def sketched(docs: DataFrame) -> DataFrame:
 
         ids, schema = WordIds(), None
         for batch in batches:
-            schema = schema or pa.schema([("doc_id", batch.column(0).type), ("words", pa.binary()), ("n", pa.int64()), ("kinds", pa.int64()), ("keys", pa.list_(pa.int64())), ("grams", pa.binary())])
+            schema = schema or pa.schema([("doc_id", batch.column(0).type), ("words", pa.binary()), ("n", pa.int64()), ("kinds", pa.int64()), ("keys", pa.list_(pa.int64()))])
             rows = []
             for (text,) in as_rows(batch, "text"):
                 if len(ids) > 400_000:
                     ids = WordIds()
                 words = alnum_words(text)
                 if words:
-                    short = (ids.at(words) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                    grams = shingles(short.astype(np.uint64))
-                    rows.append((hashlib.blake2b(b" ".join(words), digest_size=16).digest(), len(grams), len(np.unique(grams)), sketches(grams).view(np.int64), short.tobytes()))
+                    grams = shingles(ids.at(words) & np.uint64(0xFFFFFFFF))
+                    rows.append((hashlib.blake2b(b" ".join(words), digest_size=16).digest(), len(grams), len(np.unique(grams)), sketches(grams).view(np.int64)))
                 else:
-                    rows.append((None,) * 5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, schema.types[1:]))], schema=schema)
+                    rows.append((None,) * 4)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, schema.types[1:]))], schema=schema)
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, words binary, n bigint, kinds bigint, keys array<bigint>, grams binary")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, words binary, n bigint, kinds bigint, keys array<bigint>")
 
 
 def rest_of(t, s, n: int = RESTS):
@@ -263,10 +260,35 @@ def likely(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.filter(near(F.col("n"), F.col("a_n")) | near(F.col("kinds"), F.col("a_kinds"))).select("a", "b").distinct()
 
 
-def classes_of(reps: DataFrame, made: DataFrame, least: float) -> DataFrame:
-    """(id, root) as components() gives them, of the similar documents that share a bucket; reps has (doc_id, n, kinds, keys)."""
+def words_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, grams): 32-bit hashes of the words of each document, from which its shingles follow."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        ids = WordIds()
+        for batch in batches:
+            out = []
+            for (text,) in as_rows(batch, "text"):
+                if len(ids) > 400_000:
+                    ids = WordIds()
+                out.append((ids.at(alnum_words(text)) & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "grams"])
+
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, grams binary")
+
+
+def classes_of(reps: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """(id, root) as components() gives them, of the similar documents that share a bucket; reps has (doc_id, n, kinds, keys).
+
+    Only the words of documents that are in some pair are written, once for both rounds.
+    """
     members = reps.select("doc_id", "n", "kinds", F.posexplode("keys").alias("band", "key"))
-    found = checkpointed(checked(likely(against_choice(members), least), made, least))
+    pairs = checkpointed(likely(against_choice(members), least))
+    paired = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    made = checkpointed(words_of(docs.join(paired, "doc_id", "left_semi").select("doc_id", "text")))
+    found = checkpointed(checked(pairs, made, least))
     links = found.filter("rest IS NULL").select("a", "b")
     roots = components(links)
     of = lambda c, to: roots.select(F.col("id").alias(c), F.col("root").alias(to))
@@ -280,7 +302,7 @@ def classes_of(reps: DataFrame, made: DataFrame, least: float) -> DataFrame:
 
 def checked(pairs: DataFrame, made: DataFrame, least: float) -> DataFrame:
     """(a, b, aligned, shared, rest, n, kinds): the pairs that are similar, by either measure, one that does not reach `least` being 0; and those where a has much of b, with what b has besides and its numbers of shingles."""
-    both = pairs.join(made.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(made.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"), "n", "kinds"), "b")
+    both = pairs.join(made.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(made.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
 
     def run(batches):
         import numpy as np
@@ -294,13 +316,13 @@ def checked(pairs: DataFrame, made: DataFrame, least: float) -> DataFrame:
                 rest = None if v or w else rest_of(t, s)
                 if v or w or rest is not None:
                     keep.append(i)
-                    found.append((v, w, rest))
+                    found.append((v, w, rest, len(t), len(np.unique(t))))
             at = pa.array(keep, pa.int64())
-            more = [pa.array(c, kind) for c, kind in zip(zip(*found) if found else [[]] * 3, (pa.float64(), pa.float64(), pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *more, batch.column(4).take(at), batch.column(5).take(at)], ["a", "b", "aligned", "shared", "rest", "n", "kinds"])
+            more = [pa.array(c, kind) for c, kind in zip(zip(*found) if found else [[]] * 5, (pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *more], ["a", "b", "aligned", "shared", "rest", "n", "kinds"])
 
     kind = dict(made.dtypes)["doc_id"]
-    return both.select("a", "b", "x", "y", "n", "kinds").mapInArrow(run, f"a {kind}, b {kind}, aligned double, shared double, rest array<bigint>, n bigint, kinds bigint")
+    return both.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}, aligned double, shared double, rest array<bigint>, n bigint, kinds bigint")
 
 
 def near_duplicates(df: DataFrame, id_col="doc_id", text_col="text", least: float = SIMILAR) -> DataFrame:
@@ -318,18 +340,15 @@ def near_duplicates(df: DataFrame, id_col="doc_id", text_col="text", least: floa
 
     Copies are counted by the hash of their words before anything is joined, and only
     the least document of each kind is held against others, so groups of any size
-    cost a row a document. Words are written once, as 32-bit hashes, dealt by id, and
-    are not moved again but for the pairs.
+    cost a row a document. Texts are read again for the documents in pairs alone.
     """
     docs = texts(df, id_col, text_col)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION))
-    made = dealt(sketched(docs), parts, "doc_id")
+    made = checkpointed(sketched(docs))
     some = made.filter(F.col("words").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "words")
     kinds = some.groupBy("words").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last").drop("last")
     of = checkpointed(joined_by(some, kinds, ["words"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")))
     reps = made.filter(F.col("words").isNotNull()).join(of.filter("doc_id <> rep").select("doc_id").distinct(), "doc_id", "left_anti").filter(F.col("doc_id").isNotNull())
-    roots = classes_of(checkpointed(reps.select("doc_id", "n", "kinds", "keys")), made, least)
+    roots = classes_of(reps.select("doc_id", "n", "kinds", "keys"), docs, least)
     one = of.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     found = made.select("doc_id").join(one, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     return found.join(roots, found.rep == roots.id, "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
