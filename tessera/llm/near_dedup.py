@@ -287,7 +287,7 @@ def classes_of(reps: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     members = reps.select("doc_id", "n", "kinds", F.posexplode("keys").alias("band", "key"))
     pairs = checkpointed(likely(against_choice(members), least))
     paired = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    made = checkpointed(words_of(docs.join(paired, "doc_id", "left_semi").select("doc_id", "text")))
+    made = checkpointed(words_of(docs.join(paired.hint("merge"), "doc_id", "left_semi").select("doc_id", "text")))
     found = checkpointed(checked(pairs, made, least))
     links = found.filter("rest IS NULL").select("a", "b")
     roots = components(links)
