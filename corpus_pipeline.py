@@ -1,7 +1,9 @@
 """Documents to packed training sequences: quality, repeated lines, near copies, benchmark passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
-the columns of documents.
+the columns of documents. Rows are told apart by id and text: of rows that have both in
+common one is left after the near-copy stage, and rows with one id are judged each by
+its own text.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 from tessera.llm.decontaminate import find_contamination
-from tessera.llm.line_dedup import drop_repeated_lines
+from tessera.llm.line_dedup import drop_repeated_lines, row_key
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality_crf import keep_good, quality_model
@@ -31,16 +33,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.withColumn("n_chars", F.when(lost, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(row_key("doc_id", "text").alias("row"), "text")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the one with the least id."""
-    classes = near_duplicates(docs)
-    return docs.join(classes.filter("doc_id <> class_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each class: the one with the least id, once."""
+    firsts = near_duplicates(keyed(docs), id_col="row").filter("doc_id = class_id").select(F.col("doc_id").alias("row")).distinct()
+    return docs.withColumn("row", row_key("doc_id", "text")).join(firsts, "row", "left_semi").dropDuplicates(["row"]).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.filter("n_hit > 0").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    found = find_contamination(keyed(docs), table(spark, sf_dir, "benchmark"), id_col="row").filter("n_hit > 0").select(F.col("doc_id").alias("row")).distinct()
+    return docs.withColumn("row", row_key("doc_id", "text")).join(found, "row", "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
