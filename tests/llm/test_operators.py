@@ -584,3 +584,20 @@ def test_pipeline(spark, docs, rows, tmp_path):
     two = left.agg(F.sum("length"), F.count_distinct("doc_id")).first()
     assert tuple(one) == tuple(two)
 
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark, tmp_path):
+    """Three documents given twice, two texts with one id, and tables without rows."""
+    import corpus_pipeline
+
+    rng, d = random.Random(4), str(tmp_path)
+    rows = [(i, "\n".join(prose(rng, 12) for _ in range(8)), "en", "s", 1) for i in range(3)] * 2 + [(7, prose(rng, 90), "en", "s", 1), (7, prose(rng, 90), None, None, None), (None, prose(rng, 80), "en", "s", 1)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(rows[1][1].split()[:15]))], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, d).filter("start = 0").collect()
+    assert sorted(str(r.doc_id) for r in got) == ["0", "2", "7", "7", "None"]
+    empty = tmp_path / "empty"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{d}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).collect() == []
