@@ -3,29 +3,25 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a folder is made only where that is unset and all runs on this machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of df, written to the folder that all executors share, without their lineage.
 
-    They are a table there, so that later plans know its real size: what a checkpoint
-    keeps of the size that its plan was thought to have grows from round to round.
+    The folder is the session's spark.checkpoint.dir; one is made only where that is
+    unset and all runs on this machine. A checkpoint keeps the size that its plan was
+    thought to have, which multiplies from join to join and from round to round until
+    planning itself takes minutes; so the rows are read back without it.
     """
-    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    rows = df.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows.queryExecution().toRdd(), rows.schema(), False), spark)
