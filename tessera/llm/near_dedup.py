@@ -7,8 +7,8 @@ equal words are one class from the start. Of the others, those that share a sket
 held against one document of the bucket, chosen by the bucket's own hash; two whose
 shingle sequences align well enough, within the band that the similarity allows, are
 linked. Members that have much in common with a choice, as those of a template have, but
-are not linked to it, are sketched a second time by what sets them apart from it, and
-those that share such a sketch are held against its bucket's choice in turn. A round
+are not linked to it, are sketched a second time by what sets them apart from the choice
+that has most of them, and those that share such a sketch are held against its bucket's choice in turn. A round
 takes a pair for each document and bucket, never all pairs.
 """
 
@@ -234,7 +234,7 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def rest_of(t, s, n: int = RESTS):
-    """n hashes of the distinct shingles of t that s has not, each the lowest by a hash function of its own; none if s has few of them or all."""
+    """How many distinct shingles of t s has not, and n hashes of them, each the lowest by a hash function of its own; none if s has few of t or all."""
     import numpy as np
 
     own = np.unique(t)
@@ -242,7 +242,7 @@ def rest_of(t, s, n: int = RESTS):
     if not len(rest) or len(own) - len(rest) < TEMPLATE * len(own):
         return None
     seeds = mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
-    return np.array([(rest * seed).min() for seed in seeds], np.uint64).view(np.int64)
+    return len(rest), np.array([(rest * seed).min() for seed in seeds], np.uint64).view(np.int64)
 
 
 def against_choice(members: DataFrame) -> DataFrame:
@@ -294,14 +294,15 @@ def classes_of(reps: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     of = lambda c, to: roots.select(F.col("id").alias(c), F.col("root").alias(to))
     apart = found.filter("rest IS NOT NULL").join(of("a", "its"), "a", "left").join(of("b", "mine"), "b", "left")
     apart = apart.withColumn("mine", F.coalesce("mine", "b")).filter(F.col("mine") != F.coalesce("its", "a"))
-    apart = apart.select(F.col("b").alias("doc_id"), "n", "kinds", "mine", F.posexplode("rest").alias("band", "key")).distinct()
+    apart = apart.groupBy(F.col("b").alias("doc_id"), "n", "kinds", "mine").agg(F.min(F.struct("left", "rest")).alias("least"))
+    apart = apart.select("doc_id", "n", "kinds", "mine", F.posexplode("least.rest").alias("band", "key"))
     several = apart.groupBy("band", "key").agg(F.min("mine").alias("x"), F.max("mine").alias("y")).filter("x <> y").select("band", "key")
     again = checkpointed(checked(likely(against_choice(joined_by(apart, several, ["band", "key"]).drop("mine")), least), made, least))
     return components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(again.filter("rest IS NULL").select("a", "b")))
 
 
 def checked(pairs: DataFrame, made: DataFrame, least: float) -> DataFrame:
-    """(a, b, aligned, shared, rest, n, kinds): the pairs that are similar, by either measure, one that does not reach `least` being 0; and those where a has much of b, with what b has besides and its numbers of shingles."""
+    """(a, b, aligned, shared, left, rest, n, kinds): the pairs that are similar, by either measure, one that does not reach `least` being 0; and those where a has much of b, with what b has besides and its numbers of shingles."""
     both = pairs.join(made.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(made.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
 
     def run(batches):
@@ -316,13 +317,13 @@ def checked(pairs: DataFrame, made: DataFrame, least: float) -> DataFrame:
                 rest = None if v or w else rest_of(t, s)
                 if v or w or rest is not None:
                     keep.append(i)
-                    found.append((v, w, rest, len(t), len(np.unique(t))))
+                    found.append((v, w, *(rest or (None, None)), len(t), len(np.unique(t))))
             at = pa.array(keep, pa.int64())
-            more = [pa.array(c, kind) for c, kind in zip(zip(*found) if found else [[]] * 5, (pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *more], ["a", "b", "aligned", "shared", "rest", "n", "kinds"])
+            more = [pa.array(c, kind) for c, kind in zip(zip(*found) if found else [[]] * 6, (pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *more], ["a", "b", "aligned", "shared", "left", "rest", "n", "kinds"])
 
     kind = dict(made.dtypes)["doc_id"]
-    return both.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}, aligned double, shared double, rest array<bigint>, n bigint, kinds bigint")
+    return both.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}, aligned double, shared double, left bigint, rest array<bigint>, n bigint, kinds bigint")
 
 
 def near_duplicates(df: DataFrame, id_col="doc_id", text_col="text", least: float = SIMILAR) -> DataFrame:
