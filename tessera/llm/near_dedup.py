@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import WordIds, alnum_words, as_rows, gram_hashes, joined_by, mixed, table, texts
-from tessera.lineage import checkpointed
+from tessera.lineage import checkpointed, let_go
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Sketches of a document, and shingles in a sketch.
@@ -289,8 +289,10 @@ def classes_of(reps: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     paired = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     made = checkpointed(words_of(docs.join(paired.hint("merge"), "doc_id", "left_semi").select("doc_id", "text")))
     found = checkpointed(checked(pairs, made, least))
-    links = found.filter("rest IS NULL").select("a", "b")
-    roots = components(links)
+    del pairs, paired, members
+    let_go(docs.sparkSession)
+    roots = components(found.filter("rest IS NULL").select("a", "b"))
+    let_go(docs.sparkSession)
     of = lambda c, to: roots.select(F.col("id").alias(c), F.col("root").alias(to))
     apart = found.filter("rest IS NOT NULL").join(of("a", "its"), "a", "left").join(of("b", "mine"), "b", "left")
     apart = apart.withColumn("mine", F.coalesce("mine", "b")).filter(F.col("mine") != F.coalesce("its", "a"))
@@ -343,6 +345,7 @@ def near_duplicates(df: DataFrame, id_col="doc_id", text_col="text", least: floa
     the least document of each kind is held against others, so groups of any size
     cost a row a document. Texts are read again for the documents in pairs alone.
     """
+    let_go(df.sparkSession)
     docs = texts(df, id_col, text_col)
     made = checkpointed(sketched(docs))
     some = made.filter(F.col("words").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "words")
