@@ -83,3 +83,15 @@ def translate_pages(pages: DataFrame, ask: Callable[[str], str], limit: int = 20
             yield pdf.assign(text=done)[["id", "text"]]
 
     return pages.select("id", "text").mapInPandas(run, "id string, text string")
+
+
+def translate_groups(groups: DataFrame, ask: Callable[[str], str], limit: int = 2000) -> DataFrame:
+    """(id, lines): the lines of each row by one call on the executors, null where the answer can't be trusted."""
+
+    def run(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            yield pd.DataFrame({"id": pdf["id"], "lines": [translate_lines(list(x), ask, limit) if x is not None else None for x in pdf["lines"]]})
+
+    return groups.select("id", "lines").mapInPandas(run, "id string, lines array<string>")

@@ -6,6 +6,8 @@ import re
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
+from pyspark.sql import DataFrame
+
 RAW = "https://raw.githubusercontent.com"
 
 
@@ -48,3 +50,23 @@ def parse(text: str) -> Spec:
     if url.hostname == "raw.githubusercontent.com" and len(parts) >= 2:
         return Spec(root, parts[0], parts[1])
     return Spec(root)
+
+
+def parsed(specs: DataFrame) -> DataFrame:
+    """(id, text, root, owner, repo, release, tag) of specs (id, text); nulls for a text that is none."""
+
+    def run(frames):
+        import pandas as pd
+
+        def one(text):
+            try:
+                s = parse(text)
+                return s.root, s.owner, s.repo, s.release, s.tag
+            except (ValueError, AttributeError):
+                return (None,) * 5
+
+        for pdf in frames:
+            found = pd.DataFrame([one(t) for t in pdf["text"]], columns=["root", "owner", "repo", "release", "tag"], dtype=object)
+            yield pd.concat([pdf[["id", "text"]].reset_index(drop=True), found], axis=1)
+
+    return specs.select("id", "text").mapInPandas(run, "id string, text string, root string, owner string, repo string, release boolean, tag string")

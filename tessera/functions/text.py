@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CJK = "㐀-鿿豈-﫿"
-PIECES = f"[{CJK}]+|[A-Za-z0-9_-]+|[\\x{{10000}}-\\x{{10FFFF}}]"
+OTHERS = "[A-Za-z0-9_-]+|[\\x{10000}-\\x{10FFFF}]"
+PIECES = f"[{CJK}]+|{OTHERS}"
+#: The characters beyond ASCII that become ASCII letters in lower case.
+ODD = "\u212a\u0130"
 
 
 def ngrams(run: Column, n: int) -> Column:
@@ -16,9 +21,17 @@ def ngrams(run: Column, n: int) -> Column:
 
 def search_tokens(text: Column) -> Column:
     """Tokens of the index: runs of CJK characters whole up to three, else all pairs and triples; words of ASCII in lower case; characters beyond the BMP alone."""
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({PIECES})"), F.lit(1))
+    text = F.coalesce(text, F.lit(""))
+    pieces = F.regexp_extract_all(text, F.lit(f"({PIECES})"), F.lit(1))
     cut = lambda p: F.when(~p.rlike(f"^[{CJK}]"), F.array(F.lower(p))).when(F.length(p) <= 3, F.array(p)).otherwise(F.concat(ngrams(p, 2), ngrams(p, 3)))
-    return F.flatten(F.transform(pieces, cut))
+    # texts without CJK characters, the most by far, are cut by one pattern and need no function a token
+    plain = F.regexp_extract_all(F.lower(text), F.lit(f"({OTHERS})"), F.lit(1))
+    return F.when(text.rlike(f"[{CJK}{ODD}]"), F.flatten(F.transform(pieces, cut))).otherwise(plain)
+
+
+def with_words(segmenter: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """A tokenizer with the words of a segmenter (a Column of a text to its words) before the tokens of the index."""
+    return lambda text: F.concat(F.coalesce(segmenter(text), F.array().cast("array<string>")), search_tokens(text))
 
 
 # Words that tell descriptions apart no better than chance.

@@ -41,14 +41,16 @@ def keep_classified(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     return fresh.select("id", F.col("category").alias("f")).join(existing.select("id", "category"), "id", "left").select("id", F.coalesce("category", "f").alias("category"))
 
 
-def detect_dependencies(manifests: DataFrame, texts: DataFrame, dictionary: DataFrame, strong: str = "requires|depends on|needs") -> DataFrame:
-    """(src_id, dep_id, kind, confidence): what manifests declare (0.9) and texts name, near a strong word (0.7) or not (0.35).
+def detect_dependencies(manifests: DataFrame, texts: DataFrame, dictionary: DataFrame, strong: str = "requires|depends on|needs", code: DataFrame | None = None) -> DataFrame:
+    """(src_id, dep_id, kind, confidence): what manifests declare (0.9), code refers to (0.85) and texts name, near a strong word (0.7) or not (0.35).
 
     The dictionary's names meet the words of texts by equality, so no pair of text and
     name without a common word is looked at. The highest confidence counts, under 0.4
     none; below 0.7 a dependency is optional.
     """
     declared = manifests.select("src_id", "dep_id", F.lit(0.9).alias("c"))
+    if code is not None:
+        declared = declared.union(code.select("src_id", "dep_id", F.lit(0.85).alias("c")))
     words = texts.select("src_id", F.explode(F.split("text", r"(?<=[.!?\n])\s*")).alias("s"))
     words = words.select("src_id", F.lower("s").rlike(strong).alias("near"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("s"), F.lit("([a-z0-9_-]+)"), F.lit(1)))).alias("name"))
     named = words.join(dictionary.select(F.col("id").alias("dep_id"), F.lower("name").alias("name")), "name").select("src_id", "dep_id", F.when(F.col("near"), 0.7).otherwise(0.35).alias("c"))

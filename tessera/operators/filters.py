@@ -82,3 +82,9 @@ def journal_filter(status: str = "", verdict: str = "", search: str = "") -> Col
     if search.strip():
         test = test & (F.instr(F.lower(F.concat_ws(" ", "name", "id", "note")), search.strip().lower()) > 0)
     return test
+
+
+def ecosystem(df: DataFrame, curated: DataFrame, heuristic: Column) -> DataFrame:
+    """Rows that are curated as members of the local ecosystem or look like it."""
+    flags = curated.select("id", F.lit(True).alias("__curated")).distinct()
+    return df.join(flags, "id", "left").filter(F.coalesce("__curated", F.lit(False)) | F.coalesce(heuristic, F.lit(False))).drop("__curated")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.schema import DAY_MS, TrendConfig
@@ -114,6 +114,36 @@ def upsert(table: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
     return table.join(rows.select(key), key, "left_anti").unionByName(rows)
 
 
-def safe_to_replace(new_count: int, loaded: int, share: float = 0.5) -> bool:
-    """Whether a sink may be overwritten: not if it would lose more than half of what was loaded."""
-    return loaded == 0 or new_count >= loaded * share
+def safe_to_replace(new_count: int | Column, loaded: int | Column, share: float = 0.5) -> bool | Column:
+    """Whether a sink may be overwritten: not if it would lose more than half of what was loaded. Numbers or Columns."""
+    return (loaded == 0) | (new_count >= loaded * share)
+
+
+def flushes(changes: DataFrame, most: int = 100, idle_ms: int = 30_000, key: str = "id", time: str = "ts") -> DataFrame:
+    """changes with `flush`: the number of the write that takes each one, per key: one after `most` changes or a pause of idle_ms.
+
+    `ord` settles equal times.
+    """
+    w = Window.partitionBy(key).orderBy(time, "ord")
+    burst = F.sum(F.coalesce((F.col(time) - F.lag(time).over(w) >= idle_ms).cast("int"), F.lit(0))).over(w)
+    rows = changes.withColumn("__b", burst)
+    inside = Window.partitionBy(key, "__b").orderBy(time, "ord")
+    rows = rows.withColumn("__c", F.floor((F.row_number().over(inside) - 1) / most))
+    return rows.withColumn("flush", F.dense_rank().over(Window.partitionBy(key).orderBy("__b", "__c")).cast("long")).drop("__b", "__c")
+
+
+def debounced(events: DataFrame, gap_ms: int, key: str = "id", time: str = "ts") -> DataFrame:
+    """Of calls that follow each other within gap_ms, the last; `ord` settles equal times."""
+    w = Window.partitionBy(key).orderBy(time, "ord")
+    return events.withColumn("__next", F.lead(time).over(w)).filter(F.col("__next").isNull() | (F.col("__next") - F.col(time) >= gap_ms)).drop("__next")
+
+
+def still_dirty(marks: DataFrame, writes: DataFrame) -> DataFrame:
+    """(id, ts): the latest mark of ids that no later write that succeeded has taken along.
+
+    marks has (id, ts), writes (id, ts, ok): a failed write clears nothing, and a mark
+    set while a write was under way (later than its start) stays.
+    """
+    last = marks.groupBy("id").agg(F.max("ts").alias("ts"))
+    done = writes.filter("ok").groupBy("id").agg(F.max("ts").alias("done"))
+    return last.join(done, "id", "left").filter(F.col("done").isNull() | (F.col("ts") > F.col("done"))).select("id", "ts")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import jaro_winkler_column, search_tokens
+from tessera.lineage import checkpointed
 from tessera.operators.scoring import apply_quality, rrf, with_scalars
 from tessera.schema import Bm25
 
@@ -22,16 +24,37 @@ class Index:
     totals: DataFrame
 
 
-def build_index(docs: DataFrame) -> Index:
-    """The inverted index of docs (id, ord, text): partial counts before each shuffle, rows by term and document after."""
-    tokens = docs.select("id", "ord", search_tokens(F.col("text")).alias("tokens"))
+def spread(docs: DataFrame) -> DataFrame:
+    """Rows on all cores: where an input has fewer splits than there are cores, and so is small, it is dealt anew."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
+def build_index(docs: DataFrame, wanted: DataFrame | None = None, tokenizer: Callable[[Column], Column] = search_tokens) -> Index:
+    """The inverted index of docs (id, ord, text): partial counts before each shuffle, rows by term and document after.
+
+    With `wanted` (term), only these terms are indexed: other tokens go before they are
+    counted or moved, and the postings are written once for all that reads them. The
+    totals are those of all tokens in any case.
+    """
+    tokens = spread(docs.select("id", "ord", "text")).select("id", "ord", tokenizer(F.col("text")).alias("tokens"))
     totals = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    postings = tokens.select("id", "ord", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "id", "ord", "dl").agg(F.count("*").alias("tf"))
+    words = tokens.select("id", "ord", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    if wanted is not None:
+        words = words.join(wanted.select("term").distinct(), "term", "left_semi")
+    postings = words.groupBy("term", "id", "ord", "dl").agg(F.count("*").alias("tf"))
+    if wanted is not None:
+        postings, totals = checkpointed(postings), checkpointed(totals)
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     return Index(postings, df.crossJoin(F.broadcast(totals)).select("term", "df", idf.alias("idf")), totals)
 
 
+def query_terms(queries: DataFrame, tokenizer: Callable[[Column], Column] = search_tokens) -> DataFrame:
+    """(qid, term, qtf) of queries (qid, text)."""
+    return queries.select("qid", F.explode(tokenizer(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+
+
 def length_norm(dl: Column, avgdl: Column, p: Bm25 = Bm25()) -> Column:
     return F.when(avgdl > 0, 1 - p.b + p.b * dl / avgdl).otherwise(1.0)
 
@@ -45,7 +68,7 @@ def bm25(index: Index, queries: DataFrame, p: Bm25 = Bm25(), allowed: DataFrame
 
     One plan for one query or a log of them: query terms meet postings on the term.
     """
-    q = queries.select("qid", F.explode(search_tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    q = query_terms(queries)
     postings = index.postings if allowed is None else index.postings.join(allowed.select("id"), "id", "left_semi")
     hits = q.join(index.terms, "term").join(postings, "term").crossJoin(F.broadcast(index.totals))
     part = F.col("qtf") * F.col("idf") * term_weight(F.col("tf"), length_norm(F.col("dl"), F.col("avgdl"), p), p)
@@ -206,7 +229,7 @@ def local_search(items: DataFrame, query: str, now_ms: int, vectors: DataFrame |
     else:
         q = expand(intent.recall, synonyms) if synonyms else intent.recall
         one = items.sparkSession.createDataFrame([(0, q)], "qid int, text string")
-        index = build_index(items.select("id", "ord", text.alias("text")))
+        index = build_index(items.select("id", "ord", text.alias("text")), query_terms(one))
         top = bm25(index, one, allowed=scope).orderBy(F.col("score").desc(), F.col("ord").asc()).limit(Bm25().top)
         paths = {"keyword": ranked(top), "title": ranked(fuzzy_titles(scope if scope is not None else items, intent.recall))}
         weighted = [(paths["keyword"], 1.0), (paths["title"], 0.5)]
@@ -252,3 +275,34 @@ def retrieval_metrics(rankings: DataFrame, gold: DataFrame) -> DataFrame:
     hits = gold.join(rankings, ["qid", "id"]).groupBy("qid").agg(*(F.sum(F.when(F.col("rank") <= k, 1).otherwise(0)).alias(f"h{k}") for k in (5, 10)), F.min("rank").alias("best"))
     q = need.join(hits, "qid", "left").fillna(0, ["h5", "h10"])
     return q.groupBy("bucket").agg(F.count("*").alias("queries"), F.round(F.avg(F.col("h5") / F.col("wanted")), 6).alias("recall_5"), F.round(F.avg(F.col("h10") / F.col("wanted")), 6).alias("recall_10"), F.round(F.avg(F.coalesce(1 / F.col("best"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.col("h10") / 10), 6).alias("precision_10"))
+
+
+def highlight_terms(query: Column, expanded: Column) -> Column:
+    """Tokens of two characters or more of a query and of its expansion, each once: what to mark in results."""
+    return F.filter(F.array_distinct(F.concat(search_tokens(query), search_tokens(F.lower(expanded)))), lambda t: F.length(t) > 1)
+
+
+def path_signals(paths: dict[str, DataFrame]) -> DataFrame:
+    """(id, signals): the names of the paths that found an id, in the order given."""
+    rows = None
+    for at, (name, path) in enumerate(paths.items()):
+        r = path.select("id", F.struct(F.lit(at).alias("at"), F.lit(name).alias("name")).alias("s"))
+        rows = r if rows is None else rows.unionByName(r)
+    return rows.groupBy("id").agg(F.array_sort(F.collect_set("s")).alias("s")).select("id", F.col("s.name").alias("signals"))
+
+
+def diagnostics(pool: DataFrame, paths: dict[str, DataFrame], intent: Intent, text: Column) -> DataFrame:
+    """Why each row of a bounded pool (id, score, position and what `text` needs) stands where it does.
+
+    For each path (id, score, ord): `<path>_rank` and `<path>_score`, null where it has
+    not found the row; the fused and the reranked score; and the terms, phrases,
+    intents and exclusions that the row matches.
+    """
+    t = F.lower(text)
+    matched = lambda terms: F.array_compact(F.array(*(F.when(term_hit(t, x), F.lit(x)) for x in terms))) if terms else F.array().cast("array<string>")
+    named = [F.when(sum((F.when(term_hit(t, c), 1).otherwise(0) for c in p.candidate_terms), F.lit(0)) > 0, F.lit(p.label)) for p in intent.profiles]
+    out = rerank(pool, intent, text).withColumns({"matched_terms": matched(intent.positive), "phrase_matches": matched(intent.phrases), "negative_matches": matched(intent.negative), "intent_matches": F.array_compact(F.array(*named)) if named else F.array().cast("array<string>")})
+    for name, path in paths.items():
+        out = out.join(ranked(path).join(path.select("id", F.col("score").alias(f"{name}_score")), "id").withColumnRenamed("rank", f"{name}_rank"), "id", "left")
+    facts = [c for name in paths for c in (f"{name}_rank", f"{name}_score")]
+    return out.select("id", "position", *facts, F.col("score").alias("fused_score"), "rerank", "matched_terms", "phrase_matches", "intent_matches", "negative_matches")

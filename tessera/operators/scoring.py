@@ -131,6 +131,16 @@ def sparkline(history: DataFrame, width: float = 60.0, height: float = 16.0) ->
     return points.select("id", F.array_join(F.transform("v", spot), " ").alias("path"))
 
 
+def similar_candidates(sources: DataFrame, items: DataFrame) -> DataFrame:
+    """(source_id, id): items that share the category or a tag with a source, itself left out; all others for a source that shares none."""
+    key = F.array_union(F.when(F.col("category").isNotNull(), F.array(F.concat(F.lit("c:"), "category"))).otherwise(F.array().cast("array<string>")), F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.concat(F.lit("t:"), t)))
+    index = items.select(F.col("id"), F.explode(key).alias("key"))
+    wanted = sources.select(F.col("id").alias("source_id"), F.explode(key).alias("key"))
+    pairs = wanted.join(index, "key").filter("source_id <> id").select("source_id", "id").distinct()
+    lonely = sources.select(F.col("id").alias("source_id")).join(pairs.select("source_id").distinct(), "source_id", "left_anti")
+    return pairs.union(lonely.crossJoin(items.select("id")).filter("source_id <> id").select("source_id", "id"))
+
+
 def similar_pairs(sources: DataFrame, items: DataFrame, tokens: str = "tokens", top: int = 5) -> DataFrame:
     """(source_id, id, score, same_category, shared_tags, jaccard, position): the most similar items of each source.
 
@@ -139,12 +149,7 @@ def similar_pairs(sources: DataFrame, items: DataFrame, tokens: str = "tokens",
     """
     from pyspark.sql import Window
 
-    key = F.array_union(F.when(F.col("category").isNotNull(), F.array(F.concat(F.lit("c:"), "category"))).otherwise(F.array().cast("array<string>")), F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.concat(F.lit("t:"), t)))
-    index = items.select(F.col("id"), F.explode(key).alias("key"))
-    wanted = sources.select(F.col("id").alias("source_id"), F.explode(key).alias("key"))
-    pairs = wanted.join(index, "key").filter("source_id <> id").select("source_id", "id").distinct()
-    lonely = sources.select(F.col("id").alias("source_id")).join(pairs.select("source_id").distinct(), "source_id", "left_anti")
-    pairs = pairs.union(lonely.crossJoin(items.select("id")).filter("source_id <> id").select("source_id", "id"))
+    pairs = similar_candidates(sources, items)
     facts = ["category", "tags", tokens]
     both = pairs.join(sources.select(F.col("id").alias("source_id"), *(F.col(c).alias(f"s_{c}") for c in facts)), "source_id").join(items.select("id", "ord", *facts), "id")
     none = F.array().cast("array<string>")

@@ -19,4 +19,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from tessera.plans import catalog_filters, catalog_functions, catalog_joins, catalog_retrieval, catalog_scores, catalog_sources  # noqa: E402, F401
+from tessera.plans import catalog_decisions, catalog_filters, catalog_functions, catalog_joins, catalog_retrieval, catalog_scores, catalog_sources  # noqa: E402, F401

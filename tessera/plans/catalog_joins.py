@@ -252,13 +252,13 @@ def _(v):
     return v("items").select("id", F.array_join(vocabulary_tags(F.col("description"), ["Brand", "ring", "PROMO", "small", "red", "STANDARD"], F.col("category")), ",").alias("tags"))
 
 
-@query("O5_detect_dependencies")
+@query("O5_detect_dependencies", "SELECT src_id, dep_id, max(c) AS confidence, 'required' AS kind FROM (SELECT src_id, dep_id, 0.7::DOUBLE AS c FROM {edges} UNION ALL SELECT src_id, dep_id, 0.9::DOUBLE FROM {edges} WHERE kind = 'required' UNION ALL SELECT src_id, dep_id, 0.85::DOUBLE FROM {edges} WHERE min_version IS NOT NULL) WHERE src_id <> dep_id AND dep_id IN (SELECT id FROM {items}) GROUP BY ALL")
 def _(v):
     from tessera.operators.batch import detect_dependencies
 
     names = v("items").select("id", F.concat(F.lit("n"), "id").alias("name"))
     texts = v("edges").select("src_id", F.concat(F.lit("It requires n"), "dep_id", F.lit(". See also n1.")).alias("text"))
-    return detect_dependencies(v("edges").filter("kind = 'required'").select("src_id", "dep_id"), texts, names)
+    return detect_dependencies(v("edges").filter("kind = 'required'").select("src_id", "dep_id"), texts, names, code=v("edges").filter("min_version IS NOT NULL"))
 
 
 @query("O8_ecosystem", "SELECT id FROM {items} WHERE author = 'Brand#4' OR regexp_matches(name, '[一-鿿]')")

@@ -26,18 +26,19 @@ def _(v):
     return v("items").select("id", F.size(description_tokens(F.col("description"))).cast("bigint").alias("n"))
 
 
-@query("G4_simplified", "SELECT id, text FROM {docs}")
+@query("G4_simplified", "SELECT id, CASE WHEN ord % 2 = 0 THEN translate(text, '數據庫', '数据库') || '数据库简' ELSE text END AS text FROM {docs}")
 def _(v):
     from tessera.functions.text import simplified
 
-    return v("docs").select("id", simplified(F.col("text"), "數據庫", "数据库").alias("text"))
+    text = F.when(F.col("ord") % 2 == 0, F.concat("text", F.lit("數據庫简"))).otherwise(F.col("text"))
+    return v("docs").select("id", simplified(text, "數據庫", "数据库").alias("text"))
 
 
-@query("G5_expand_query")
+@query("G5_expand_query", "SELECT item_id, text || CASE WHEN regexp_matches(lower(text), '\\bdata\\b') THEN ' records tables' ELSE '' END || CASE WHEN regexp_matches(lower(text), '\\bthe\\b') THEN ' that' ELSE '' END AS expanded FROM {benchmark}")
 def _(v):
-    table = {"ring": ["jewel", "band"], "red": ["crimson"]}
-    rows = [(n, R.expand(n, table)) for n in ("red ring", "a ring", "boring")]
-    return v.spark.createDataFrame(rows, "query string, expanded string")
+    from tessera.functions.labels import expanded
+
+    return v("benchmark").select("item_id", expanded(F.col("text"), {"data": ["records", "tables"], "the": ["that"], "数据": ["data"]}).alias("expanded"))
 
 
 @query("G6_index", f"WITH {INDEX} SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df FROM p GROUP BY term")
@@ -66,7 +67,7 @@ def bm25_top(v, k, allowed=None):
 
     queries = v("benchmark").select(F.col("item_id").cast("string").alias("qid"), "text")
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("ord").asc())
-    return R.bm25(R.build_index(v("docs")), queries, allowed=allowed).withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
+    return R.bm25(R.build_index(v("docs"), R.query_terms(queries)), queries, allowed=allowed).withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
 
 @query("G10_D12_bm25_recall", BM25_SQL.replace("{0}", "") + " SELECT qid, rank, id, round(score, 4) AS score FROM r WHERE rank <= 500")
@@ -152,9 +153,14 @@ def _(v):
     return v("items").select("id", hash_embedding(F.col("description"), 16).alias("vec"))
 
 
-@query("G21_index_key", "SELECT DISTINCT category, 'local|' || lower(category) AS key FROM {items}")
+@query("G21_index_key", "SELECT id, CASE WHEN size % 3 = 0 THEN 'local|' || CASE WHEN size % 2 = 0 THEN 'small' ELSE category END WHEN size % 3 = 1 THEN 'api@https://' || lower(category) || '.example|' || category ELSE category END AS key FROM {items}")
 def _(v):
-    return v("items").select("category", F.concat(F.lit("local|"), F.lower("category")).alias("key")).distinct()
+    from tessera.functions.labels import index_key
+
+    size = F.col("size")
+    base = F.when(size % 3 == 1, F.concat(F.lit(" https://"), F.lower("category"), F.lit(".example// ")))
+    model = F.when((size % 3 == 0) & (size % 2 == 0), F.lit(" ")).otherwise(F.col("category"))
+    return v("items").select("id", index_key(F.when(size % 3 == 0, "local").otherwise("api"), base, model, "small").alias("key"))
 
 
 @query("G23_G24_intents")

@@ -156,7 +156,13 @@ def _(v):
     return history.last_sample(v("samples"))
 
 
-@query("K1_trend_ingest")
+@query(
+    "K1_trend_ingest",
+    f"""WITH RECURSIVE c AS (SELECT CAST(user_id AS STRING) AS id, TIME_MS(ts) AS ts, CAST(event_id AS DOUBLE) AS downloads, row_number() OVER (PARTITION BY user_id ORDER BY TIME_MS(ts), event_id) AS n FROM {{events}}),
+s AS (SELECT id, n, [{{'ts': ts, 'downloads': downloads}}] AS k FROM c WHERE n = 1 UNION ALL
+SELECT c.id, c.n, CASE WHEN c.ts - s.k[-1].ts < {6 * HOUR_MS} THEN list_append(s.k[:-2], {{'ts': s.k[-1].ts, 'downloads': greatest(s.k[-1].downloads, c.downloads)}}) ELSE list_append(s.k, {{'ts': c.ts, 'downloads': c.downloads}})[-30:] END FROM s JOIN c ON c.id = s.id AND c.n = s.n + 1)
+SELECT id, p.ts AS ts, p.downloads AS downloads FROM (SELECT id, unnest(arg_max(k, n)) AS p FROM s GROUP BY id)""",
+)
 def _(v):
     return history.ingest(v("samples"))
 

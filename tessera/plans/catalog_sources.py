@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import history
 from tessera.plans.bindings import NOW_MS
 from tessera.plans.catalog import query
 from tessera.schema import DAY_MS
@@ -47,10 +48,10 @@ def _(v):
     return catalog_files.fresh_cache(v("items"), NOW_MS, 60 * DAY_MS, "updated").select("id")
 
 
-@query("A8_shrink_guard", "SELECT count(*) AS loaded, count(*) FILTER (size > 30) AS fresh, count(*) FILTER (size > 30) >= count(*) * 0.5 AS replaced FROM {items}")
+@query("A8_shrink_guard", "SELECT category, count(*) AS loaded, count(*) FILTER (size > 25) AS fresh, count(*) FILTER (size > 25) >= count(*) * 0.5 AS replaced FROM {items} GROUP BY category")
 def _(v):
-    n = v("items").agg(F.count("*").alias("loaded"), F.count(F.when(F.col("size") > 30, 1)).alias("fresh"))
-    return n.withColumn("replaced", F.col("fresh") >= F.col("loaded") * 0.5)
+    n = v("items").groupBy("category").agg(F.count("*").alias("loaded"), F.count(F.when(F.col("size") > 25, 1)).alias("fresh"))
+    return n.withColumn("replaced", history.safe_to_replace(F.col("fresh"), F.col("loaded")))
 
 
 @query("A9_memory_notes", "SELECT id, name, description, source, status FROM {memory}")
@@ -115,15 +116,15 @@ def _(v):
     return table_signature(v("items"), ["id", "name", "description"], "v1")
 
 
-@query("H15_source_specs")
+SPEC = "concat('o', id, '/r', id)"
+
+
+@query("H15_source_specs", f"SELECT id, 'o' || id AS owner, 'r' || id AS repo, size % 3 = 1 AS release, CASE WHEN size % 3 = 1 THEN 'v' || size END AS tag FROM {{items}}")
 def _(v):
     from tessera.functions import source_spec
 
-    rows = []
-    for text in ("o/r", "o/r@v1", "o/r@latest", "https://github.com/o/r/tree/dev/x", "https://github.com/o/r/releases/tag/v2", "https://x.example/a/manifest.json"):
-        s = source_spec.parse(text)
-        rows.append((text, s.root, s.owner, s.repo, s.release, s.tag))
-    return v.spark.createDataFrame(rows, "text string, root string, owner string, repo string, release boolean, tag string")
+    text = F.expr(f"CASE size % 3 WHEN 0 THEN {SPEC} WHEN 1 THEN concat('https://github.com/', {SPEC}, '/releases/tag/v', size) ELSE concat('https://github.com/', {SPEC}, '/tree/dev/x') END")
+    return source_spec.parsed(v("items").select("id", text.alias("text"))).select("id", "owner", "repo", "release", "tag")
 
 
 @query("H20_H21_pages", "SELECT page_id AS id, md5(html) AS digest FROM {pages}")
@@ -134,34 +135,42 @@ def _(v):
     return same.select(F.col("id").cast("bigint").alias("id"), F.md5("text").alias("digest"))
 
 
-@query("H22_lines")
+@query("H22_lines", "SELECT id, CASE WHEN size NOT IN (11, 12, 13) THEN upper(name) || '|' || upper(description) END AS lines FROM {items}")
 def _(v):
-    from tessera.functions.markdown import translate_lines
+    from tessera.functions.markdown import translate_groups
 
-    cases = [["a", "b"], ["a", ""], ["x" * 3000], ["one", "two"]]
-    rows = [(i, translate_lines(c, str.upper)) for i, c in enumerate(cases)]
-    return v.spark.createDataFrame(rows, "n bigint, lines array<string>")
+    second = F.expr("CASE size WHEN 11 THEN ' ' WHEN 12 THEN concat('a', chr(10), description) WHEN 13 THEN repeat('x', 2001) ELSE description END")
+    told = translate_groups(v("items").select("id", F.array(F.col("name"), second).alias("lines")), str.upper)
+    return told.select("id", F.when(F.col("lines").isNotNull(), F.array_join("lines", "|")).alias("lines"))
 
 
-@query("K12_breaker", "SELECT CAST(user_id AS STRING) AS id, count(*) AS calls, count(*) FILTER (event_type = 'error') AS failures FROM {events} GROUP BY 1")
+@query(
+    "K12_breaker",
+    f"""WITH RECURSIVE c AS (SELECT CAST(user_id AS STRING) AS id, TIME_MS(ts) AS ts, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY TIME_MS(ts), event_id) AS n FROM {{events}}),
+s AS (SELECT DISTINCT id, 0::BIGINT AS n, 0::BIGINT AS f, 0::BIGINT AS u, 0::BIGINT AS refused FROM c UNION ALL
+SELECT id, n, CASE WHEN u > 0 THEN f WHEN bad THEN f + 1 ELSE 0 END, CASE WHEN u > 0 THEN u WHEN bad AND f + 1 >= 2 THEN ts + {3 * DAY_MS} ELSE 0 END, refused + CASE WHEN u > 0 THEN 1 ELSE 0 END
+FROM (SELECT c.id, c.n, c.ts, c.bad, CASE WHEN s.u > 0 AND c.ts >= s.u THEN 0 ELSE s.f END AS f, CASE WHEN c.ts >= s.u THEN 0 ELSE s.u END AS u, s.refused FROM s JOIN c ON c.id = s.id AND c.n = s.n + 1))
+SELECT id, max(n) AS calls, max(refused) AS refused, arg_max(u, n) AS open_until FROM s GROUP BY id""",
+)
 def _(v):
     def run(key, pdf):
         import pandas as pd
 
         from tessera.functions.guard import Breaker
 
-        b, failures = Breaker(3, 60_000), 0
-        for ts, kind in sorted(zip(pdf["ts"], pdf["event_type"])):
-            b.is_open(int(ts))
-            if kind == "error":
-                failures += 1
+        b, refused = Breaker(2, 3 * DAY_MS), 0
+        for ts, _, kind in sorted(zip(pdf["ts"], pdf["event_id"], pdf["event_type"])):
+            if b.is_open(int(ts)):
+                refused += 1
+            elif kind == "error":
                 b.failure(int(ts))
             else:
                 b.success()
-        return pd.DataFrame({"id": [key[0]], "calls": [len(pdf)], "failures": [failures]})
+        return pd.DataFrame({"id": [key[0]], "calls": [len(pdf)], "refused": [refused], "open_until": [b.until]})
 
-    calls = v("events").select(F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("ts"), "event_type")
-    return calls.groupBy("id").applyInPandas(run, "id string, calls bigint, failures bigint")
+    calls = v("events").join(v("samples").select(F.col("downloads").cast("bigint").alias("event_id"), F.col("ts").alias("at")), "event_id")
+    calls = calls.select(F.col("user_id").cast("string").alias("id"), F.col("at").alias("ts"), "event_id", "event_type")
+    return calls.groupBy("id").applyInPandas(run, "id string, calls bigint, refused bigint, open_until bigint")
 
 
 @query("S1_windowed_counts", "SELECT event_type, (epoch_us(ts) // 3600000000) * 3600 AS start, count(*) AS n FROM {events} GROUP BY ALL")

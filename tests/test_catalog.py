@@ -454,3 +454,67 @@ def test_streamed_installs_and_windows(spark, tmp_path):
     ev = spark.createDataFrame([(1, "x"), (2, "x"), (4000, "y")], "s bigint, event_type string").select(F.timestamp_seconds("s").alias("ts"), "event_type")
     got = stream(spark, ev, str(tmp_path), lambda s: trends.windowed_counts(s), "hours").groupBy("event_type").agg(F.max("n").alias("n")).collect()
     assert {r.event_type: r.n for r in got} == {"x": 2, "y": 1}
+
+
+def test_active_filters_keep_a_fixed_order():
+    from tessera.functions import labels
+
+    order, neutral = ["search", "source", "category"], {"source": "all"}
+    state = {"category": ["a", "b"], "source": "all", "search": "ring"}
+    assert labels.active_filters(state, order, neutral) == [("search", "ring"), ("category", "a, b")]
+    assert labels.filter_signature(state, order, neutral) == labels.filter_signature({**state, "source": None}, order, neutral)
+    assert labels.filter_signature(state, order, neutral) != labels.filter_signature({**state, "source": "ai"}, order, neutral)
+
+
+def test_query_vectors_are_remembered():
+    from tessera.functions import labels
+
+    asked = []
+    embed = labels.remembered(lambda t: asked.append(t) or [1.0], most=2)
+    assert embed("a") == embed("a") == (1.0,)
+    embed("b"), embed("c"), embed("a")
+    assert asked == ["a", "b", "c", "a"]
+
+
+def test_signatures_see_order_and_fields(spark):
+    from tessera.functions.notice import ordered_signatures
+
+    def sign(rows):
+        df = spark.createDataFrame(rows, "ord bigint, id string, name string, category string")
+        return ordered_signatures(df, "ord", ["id", "name"], ["category"], "v1").first()
+
+    now = sign([(1, "a", "x", "c"), (2, "b", None, "c")])
+    assert now == sign([(2, "b", None, "c"), (1, "a", "x", "c")])
+    assert now.text_index != sign([(2, "a", "x", "c"), (1, "b", None, "c")]).text_index
+    other = sign([(1, "a", "x", "d"), (2, "b", None, "c")])
+    assert now.text_index == other.text_index and now.fields != other.fields
+
+
+def test_marks_made_during_a_failed_write_stay(spark):
+    marks = spark.createDataFrame([("a", 5), ("b", 5), ("c", 9)], "id string, ts bigint")
+    writes = spark.createDataFrame([("a", 6, True), ("b", 6, False), ("c", 6, True)], "id string, ts bigint, ok boolean")
+    assert sorted(tuple(r) for r in history.still_dirty(marks, writes).collect()) == [("b", 5), ("c", 9)]
+
+
+def test_flushes_come_after_many_changes_or_a_pause(spark):
+    rows = [("a", t, n) for n, t in enumerate([0, 1, 2, 3, 50, 51])]
+    df = spark.createDataFrame(rows, "id string, ts bigint, ord bigint")
+    got = {r.ord: r.flush for r in history.flushes(df, 3, 10).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 2, 4: 3, 5: 3}
+    assert sorted(r.ord for r in history.debounced(df, 10).collect()) == [3, 5]
+
+
+def test_odd_capitals_are_cut_as_before(spark):
+    from tessera.functions.text import search_tokens
+
+    assert one(spark, search_tokens(F.col("t")), t="aKb İI Ab-C") == ["a", "b", "i", "ab-c"]
+    assert one(spark, search_tokens(F.col("t")), t="ÉtÉ \U0001f600x") == ["t", "\U0001f600", "x"]
+
+
+def test_an_index_of_wanted_terms_has_the_statistics_of_the_whole(spark):
+    docs = spark.createDataFrame([("a", 1, "red ring red"), ("b", 2, "ring"), ("c", 3, "")], "id string, ord bigint, text string")
+    q = spark.createDataFrame([("q", "red thing")], "qid string, text string")
+    whole, part = retrieval.build_index(docs), retrieval.build_index(docs, retrieval.query_terms(q))
+    assert part.totals.collect() == whole.totals.collect()
+    assert [tuple(r) for r in part.terms.collect()] == [tuple(r) for r in whole.terms.filter("term = 'red'").collect()]
+    assert retrieval.bm25(part, q).collect() == retrieval.bm25(whole, q).collect()
