@@ -8,13 +8,18 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting by which a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of df, written to the folder that all executors share, without their lineage.
 
     The folder is the session's spark.checkpoint.dir; one is made only where that is
     unset and all runs on this machine. A checkpoint keeps the size that its plan was
     thought to have, which multiplies from join to join and from round to round until
-    planning itself takes minutes; so the rows are read back without it.
+    planning itself takes minutes; so the rows are read back without it. The shuffle
+    files behind the rows go as soon as these are written.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
@@ -24,7 +29,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
-    rows = df.checkpoint()._jdf
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        own = df.select("*")  # a plan made while the setting holds
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+    rows = own.checkpoint()._jdf
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows.queryExecution().toRdd(), rows.schema(), False), spark)
 
 

@@ -422,6 +422,25 @@ def test_lm_scores(docs, rows):
     assert suffix_tree_lm.score_texts(docs.limit(0), docs)[0].collect() == []
 
 
+def test_a_model_that_stays_in_buckets(docs):
+    """No gram comes to the driver, and the scores are those of the whole model."""
+    learned = ~F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
+    _, whole = suffix_tree_lm.score_texts(docs, docs.filter(learned))
+    want = {r.doc_id: r for r in suffix_tree_lm.score_texts(docs, docs.filter(learned))[0].collect()}
+    assert whole.kept[0].any() and whole.kept[1].any()
+    for training in (learned, docs.filter(learned)):
+        found, model = suffix_tree_lm.score_texts(docs, training, most_sent=0)
+        got = found.collect()
+        assert len(got) == len(want) and "levels" not in model.__dict__ and (model.tokens, model.distinct) == (whole.tokens, whole.distinct)
+        for r in got:
+            assert (r.n_tokens, r.n_known) == (want[r.doc_id].n_tokens, want[r.doc_id].n_known)
+            assert (r.base_score, r.score) == pytest.approx((want[r.doc_id].base_score, want[r.doc_id].score), rel=1e-9)
+    assert (model.levels[1] == whole.levels[1]).all()
+    empty, none = suffix_tree_lm.score_texts(docs, docs.limit(0), most_sent=0)
+    assert none.tokens == 0 and all(r.score == 0 for r in empty.collect())
+    assert suffix_tree_lm.score_texts(docs.limit(0), docs, most_sent=0)[0].collect() == []
+
+
 def test_what_the_model_learns_grows_with_the_corpus(spark):
     """Grams seen four times are learned however many other tokens there are."""
     rare = [(i, "red fox runs") for i in range(4)] + [(10 + i, "blue owl") for i in range(3)]
