@@ -18,17 +18,18 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def joined_by(rows: DataFrame, facts: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+def joined_by(rows: DataFrame, facts: DataFrame, by: list[str], how: str = "inner", small: bool = False) -> DataFrame:
     """rows with the facts of their keys, one row a key, keys not null.
 
     The keys are joined as one struct, which the aggregate that made the facts was not
     dealt by. So both sides get an exchange of their own right below the join, and
-    Spark can split the rows of a hot key among tasks.
+    Spark can split the rows of a hot key among tasks. Facts that are known to be few
+    (small) go to every task instead.
     """
     key, fact = unused(rows, "key"), unused(facts, "fact")
     left = rows.withColumn(key, F.struct(*by))
     right = facts.select(F.struct(*by).alias(fact), *(c for c in facts.columns if c not in by))
-    return left.join(right, F.col(key) == F.col(fact), how).drop(key, fact)
+    return left.join(F.broadcast(right) if small else right, F.col(key) == F.col(fact), how).drop(key, fact)
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import joined_by, table, texts, unused
-from tessera.lineage import checkpointed
+from tessera.lineage import MOST_IN_ONE, checkpointed, in_one, rows_of
 
 #: Least words of a run whose later copies go: shorter ones, such as blank lines and headings, recur by nature.
 LEAST_WORDS = 10
@@ -34,46 +34,51 @@ def place() -> Column:
     return F.struct("key", "pos")
 
 
-def named(runs: DataFrame, by: list[str]) -> DataFrame:
-    """(key, pos, words, name) of the runs that are not alone with their values of `by`; the name is the first place of them."""
-    first = runs.groupBy(*by).agg(F.min(place()).alias("head"), F.max(place()).alias("last")).filter("head < last").drop("last")
-    return joined_by(runs.select("key", "pos", "words", *by), first, by).select("key", "pos", "words", F.col("head").alias("name"))
+def named(runs: DataFrame, by: list[str], bare: DataFrame | None = None, small: bool = False) -> DataFrame:
+    """(key, pos, words, name) of the runs that are not alone with their values of `by`; the name is the first place of them. bare: the same rows, if they can be had with less work without their words."""
+    first = (runs if bare is None else bare).groupBy(*by).agg(F.min(place()).alias("head"), F.max(place()).alias("last")).filter("head < last").drop("last")
+    return joined_by(runs.select("key", "pos", "words", *by), first, by, small=small).select("key", "pos", "words", F.col("head").alias("name"))
 
 
-def levels_of(lines: DataFrame) -> list[DataFrame]:
-    """The names of the runs of 1, 2, 4, ... lines that stand at two places or more; lines has key, pos, id and words."""
-    one = named(lines, ["id"]).repartition("key").dropDuplicates(["key", "pos"])
-    levels, length = [checkpointed(one)], 1
-    while not levels[-1].isEmpty():
+def levels_of(lines: DataFrame, bare: DataFrame, most_in_one: int = MOST_IN_ONE) -> list[tuple[DataFrame, bool]]:
+    """The names of the runs of 1, 2, 4, ... lines that stand at two places or more, and whether they are few; lines has key, pos, id and words, bare has no words."""
+    levels, length = [], 1
+    made = checkpointed(named(lines, ["id"], bare).repartition("key").dropDuplicates(["key", "pos"]))
+    while n := rows_of(made):
+        small = n <= most_in_one
+        levels.append((in_one(made, small), small))
         ahead = Window.partitionBy("key").orderBy("pos").rangeBetween(length, length)
-        doubled = levels[-1].withColumns({"next": F.min("name").over(ahead), "more": F.min("words").over(ahead)}).filter(F.col("next").isNotNull())
-        levels.append(checkpointed(named(doubled.select("key", "pos", (F.col("words") + F.col("more")).alias("words"), "name", "next"), ["name", "next"])))
+        doubled = levels[-1][0].withColumns({"next": F.min("name").over(ahead), "more": F.min("words").over(ahead)}).filter(F.col("next").isNotNull())
+        made = checkpointed(named(doubled.select("key", "pos", (F.col("words") + F.col("more")).alias("words"), "name", "next"), ["name", "next"], small=small))
         length *= 2
-    return levels[:-1]
+    return levels
 
 
-def longer(runs: DataFrame, level: DataFrame, length: int) -> DataFrame:
+def longer(runs: DataFrame, level: DataFrame, length: int, small: bool) -> DataFrame:
     """The runs (key, pos, n, words, first), each with `length` more lines if it starts earlier with them too."""
     heads = runs.select("n", "first").distinct().select("first.key", "first.pos", "n", F.lit(0).cast("bigint").alias("words"), "first", F.lit(True).alias("head"))
-    asked = runs.withColumn("head", F.lit(False)).unionByName(heads).withColumn("at", F.col("pos") + F.col("n"))
-    then = joined_by(asked, level.select("key", F.col("pos").alias("at"), F.col("name").alias("follows"), F.col("words").alias("more")), ["key", "at"], "left")
+    asked = in_one(runs.withColumn("head", F.lit(False)).unionByName(heads), small).withColumn("at", F.col("pos") + F.col("n"))
+    then = joined_by(asked, level.select("key", F.col("pos").alias("at"), F.col("name").alias("follows"), F.col("words").alias("more")), ["key", "at"], "left", small)
     best = then.filter("follows IS NOT NULL").groupBy("n", "first", "follows").agg(F.min(place()).alias("best"))
-    found = joined_by(then.filter("NOT head"), best, ["n", "first", "follows"], "left").withColumn("up", F.coalesce(F.col("best") < place(), F.lit(False)))
+    found = joined_by(then.filter("NOT head"), best, ["n", "first", "follows"], "left", small).withColumn("up", F.coalesce(F.col("best") < place(), F.lit(False)))
     return found.select("key", "pos", F.when(F.col("up"), F.col("n") + length).otherwise(F.col("n")).alias("n"), F.when(F.col("up"), F.col("words") + F.col("more")).otherwise(F.col("words")).alias("words"), F.when(F.col("up"), F.col("best")).otherwise(F.col("first")).alias("first"))
 
 
-def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS, most_in_one: int = MOST_IN_ONE) -> DataFrame:
     """(key, pos, n, words, first): at each place of docs (key, text), the longest run of lines that also starts earlier, at `first`, if it has least_words words."""
-    line = F.transform(F.split("text", "\n"), lambda x: F.struct(F.unhex(F.md5(x)).alias("id"), words_in(x).cast("long").alias("words")))
+    own = lambda x: F.unhex(F.md5(x))
+    line = F.transform(F.split("text", "\n"), lambda x: F.struct(own(x).alias("id"), words_in(x).cast("long").alias("words")))
     lines = docs.select("key", F.posexplode(line).alias("pos", "x")).select("key", F.col("pos").cast("long").alias("pos"), "x.id", "x.words")
-    levels, runs = levels_of(lines), None
+    bare = docs.select("key", F.posexplode(F.transform(F.split("text", "\n"), own)).alias("pos", "id")).withColumn("pos", F.col("pos").cast("long"))
+    levels, runs = levels_of(lines, bare, most_in_one), None
     for k in range(len(levels) - 1, -1, -1):
-        later = levels[k].filter(F.col("name") < place())
+        level, small = levels[k]
+        later = level.filter(F.col("name") < place())
         if k + 1 < len(levels):
-            longer_ones = levels[k + 1].filter(F.col("name") < place()).select(place().alias("known"))
-            later = later.withColumn("place", place()).join(longer_ones, F.col("place") == F.col("known"), "left_anti").drop("place")
+            longer_ones = levels[k + 1][0].filter(F.col("name") < place()).select(place().alias("known"))
+            later = later.withColumn("place", place()).join(F.broadcast(longer_ones) if levels[k + 1][1] else longer_ones, F.col("place") == F.col("known"), "left_anti").drop("place")
         these = later.select("key", "pos", F.lit(1 << k).cast("bigint").alias("n"), "words", F.col("name").alias("first"))
-        runs = these if runs is None else longer(runs, levels[k], 1 << k).unionByName(these)
+        runs = these if runs is None else in_one(longer(in_one(runs, small), level, 1 << k, small).unionByName(these), small)
         runs = checkpointed(runs) if k else runs
     if runs is None:
         return lines.filter("false").select("key", "pos", F.lit(0).cast("bigint").alias("n"), "words", place().alias("first"))

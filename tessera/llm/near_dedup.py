@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import WordIds, alnum_words, as_rows, gram_hashes, joined_by, mixed, table, texts
-from tessera.lineage import checkpointed, let_go
+from tessera.lineage import MOST_IN_ONE, checkpointed, in_one, let_go, rows_of
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Sketches of a document, and shingles in a sketch.
@@ -192,15 +192,17 @@ def components(links: DataFrame) -> DataFrame:
         r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         return r.n, r.h
 
+    small = rows_of(edges) <= MOST_IN_ONE // 2
+    edges = in_one(edges, small)
     was = mark(edges)
     while was[0]:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = in_one(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), small)
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = joined_by(both, low, ["a"]).filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
+        large = joined_by(both, low, ["a"], small=small).filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = joined_by(large, low, ["a"])
-        small = small.select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b"))).filter("a <> b").distinct()
-        edges = checkpointed(small)
+        near = joined_by(large, low, ["a"], small=small)
+        near = in_one(near.select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b"))), small).filter("a <> b").distinct()
+        edges = in_one(checkpointed(near), small)
         now = mark(edges)
         if now == was:
             break

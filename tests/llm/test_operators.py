@@ -505,6 +505,21 @@ def lines_gone(texts):
     return lines, gone
 
 
+def test_small_levels_move_no_rows(spark, docs):
+    """Line dedup's exchanges do not grow with the length of its runs, and few or many partitions give the same runs."""
+    text = "\n".join(f"line number {i} of a long text" for i in range(64))
+    long = spark.createDataFrame([(i, text) for i in range(3)], "doc_id bigint, text string").select(line_dedup.row_key("doc_id", "text").alias("key"), "text")
+    levels = line_dedup.levels_of(*[long.select("key", F.posexplode(F.split("text", "\n")).alias("pos", "id")).withColumns({"pos": F.col("pos").cast("bigint"), "words": F.lit(7).cast("bigint")})] * 2)
+    assert len(levels) == 7 and all(small for _, small in levels)
+    runs = levels[3][0].filter(F.col("name") < line_dedup.place()).select("key", "pos", F.lit(8).cast("bigint").alias("n"), "words", F.col("name").alias("first"))
+    found, moved = line_dedup.longer(runs, levels[2][0], 4, True), line_dedup.longer(runs.repartition(4), levels[2][0].repartition(4), 4, False)
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert found.count() == moved.count() > 0 and exchanges(found) == 0 < exchanges(moved)
+    own = docs.select(line_dedup.row_key("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    few, many = (sorted(map(str, line_dedup.repeated_runs(own, most_in_one=n).collect())) for n in (100_000, -1))
+    assert few == many and few
+
+
 def test_line_dedup(docs, rows):
     kept = line_dedup.drop_repeated_lines(clashing(docs))
     got = {r.doc_id: r for r in kept.collect()}
