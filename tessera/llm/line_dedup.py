@@ -27,7 +27,7 @@ LEAST_WORDS = 10
 
 
 def words_in(line: Column) -> Column:
-    return F.size(F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), ""))
+    return F.regexp_count(line, F.lit(r"[^ \t\x0b\x0c\r]+"))
 
 
 def place() -> Column:
