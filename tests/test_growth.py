@@ -43,3 +43,31 @@ def test_candidate_pairs_are_not_moved(spark):
     # nothing is grouped or dealt out above the step that makes pairs of ids
     above = plan[: plan.index("Generate explode(id")]
     assert "Aggregate" not in above and "Repartition" not in above
+
+
+def plain_similar(rows, sources, top):
+    out = []
+    for a in sources:
+        found = []
+        for b in plain_candidates(a, rows):
+            x, y = set(a[4]), set(b[4])
+            jaccard = len(x & y) / len(x | y) if x and y else 0.0
+            score = 4.0 * bool(a[2] and a[2] == b[2]) + 2.0 * len(set(a[3] or ()) & set(b[3] or ())) + 2.0 * jaccard
+            if score > 0:
+                found.append((-round(score, 9), b[1], b[0]))
+        out += [(a[0], b, -score, at) for at, (score, _, b) in enumerate(sorted(found)[:top], 1)]
+    return sorted(out)
+
+
+def test_similar_is_that_of_all_pairs(spark):
+    rows, df = catalog(spark, 200, random.Random(2))
+    found = scoring.similar_pairs(df.filter("ord % 3 = 0"), df)
+    assert sorted((r.source_id, r.id, round(r.score, 9), r.position) for r in found.collect()) == plain_similar(rows, [r for r in rows if r[1] % 3 == 0], 5)
+
+
+def test_similar_scores_kinds_of_rows(spark):
+    _, df = catalog(spark, 10, random.Random(2))
+    plan = optimized(scoring.similar_pairs(df.filter("ord < 5"), df))
+    # ids join what is scored already: none is below the step that counts words in common
+    below = plan[plan.index("array_intersect") :]
+    assert "kind" in below and "source_id" not in below
