@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tessera.functions import embed
 from tessera.operators import blocks, scoring
 
 
@@ -71,3 +72,8 @@ def test_similar_scores_kinds_of_rows(spark):
     # ids join what is scored already: none is below the step that counts words in common
     below = plan[plan.index("array_intersect") :]
     assert "kind" in below and "source_id" not in below
+
+
+def test_an_embedding_cuts_a_text_once(spark):
+    plan = optimized(spark.createDataFrame([("a b a",)], "t string").select(embed.hash_embedding(F.col("t"), 16).alias("v")))
+    assert plan.count("split(") == 1 and plan.count("xxhash64(") == 1
