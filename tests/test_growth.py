@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import embed
 from tessera.operators import blocks, scoring
+from tessera.plans.catalog import QUERIES
 
 
 def optimized(df):
@@ -77,3 +78,9 @@ def test_similar_scores_kinds_of_rows(spark):
 def test_an_embedding_cuts_a_text_once(spark):
     plan = optimized(spark.createDataFrame([("a b a",)], "t string").select(embed.hash_embedding(F.col("t"), 16).alias("v")))
     assert plan.count("split(") == 1 and plan.count("xxhash64(") == 1
+
+
+def test_versions_are_compared_before_rows_meet(spark):
+    plan = optimized(QUERIES["H1_compare_version"](spark, "/root/testdata/sf0.001"))
+    # the pairs of equal versions, the first branch of the union, are rows of ready answers
+    assert "split(" not in plan[: plan.index("Generate explode(a")]
