@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import embed
 from tessera.functions.text import jaro_winkler_column, search_tokens
 from tessera.lineage import checkpointed
 from tessera.operators.scoring import apply_quality, rrf, with_scalars
@@ -30,21 +31,27 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
+def term_counts(tokens: Column) -> Column:
+    """(term, tf) of each different token, as an array: tokens in order, cut where one ends."""
+    def counted(s: Column) -> Column:
+        ends = F.array_compact(F.transform(s, lambda x, i: F.when(F.get(s, i + 1).eqNullSafe(x), F.lit(None)).otherwise(i + 1)))
+        return embed.once(ends, lambda e: F.transform(e, lambda end, k: F.struct(F.get(s, end - 1).alias("term"), (end - F.when(k == 0, 0).otherwise(F.get(e, k - 1))).cast("long").alias("tf"))))
+
+    return embed.once(F.sort_array(tokens), counted)
+
+
 def build_index(docs: DataFrame, wanted: DataFrame | None = None, tokenizer: Callable[[Column], Column] = search_tokens) -> Index:
-    """The inverted index of docs (id, ord, text): partial counts before each shuffle, rows by term and document after.
+    """The inverted index of docs (id, ord, text): a document's terms are counted in its own row, so postings need no shuffle.
 
-    With `wanted` (term), only these terms are indexed: other tokens go before they are
-    counted or moved, and the postings are written once for all that reads them. The
-    totals are those of all tokens in any case.
+    With `wanted` (term), only these terms are indexed. The totals are those of all
+    tokens in any case.
     """
     tokens = spread(docs.select("id", "ord", "text")).select("id", "ord", tokenizer(F.col("text")).alias("tokens"))
     totals = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    words = tokens.select("id", "ord", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    if wanted is not None:
-        words = words.join(wanted.select("term").distinct(), "term", "left_semi")
-    postings = words.groupBy("term", "id", "ord", "dl").agg(F.count("*").alias("tf"))
+    counts = tokens.select("id", "ord", F.size("tokens").alias("dl"), term_counts(F.col("tokens")).alias("counts"))
+    postings = counts.select("id", "ord", "dl", F.explode("counts").alias("p")).select("p.term", "id", "ord", "dl", "p.tf")
     if wanted is not None:
-        postings, totals = checkpointed(postings), checkpointed(totals)
+        postings, totals = postings.join(wanted.select("term").distinct(), "term", "left_semi"), checkpointed(totals)
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     return Index(postings, df.crossJoin(F.broadcast(totals)).select("term", "df", idf.alias("idf")), totals)

@@ -1,11 +1,12 @@
 """What moves and what a row costs in queries whose pairs or counts grow fast: by their plans, and against plain versions."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from tessera.functions import embed
-from tessera.operators import blocks, scoring
+from tessera.operators import blocks, retrieval, scoring
 from tessera.plans.catalog import QUERIES
 
 
@@ -84,3 +85,13 @@ def test_versions_are_compared_before_rows_meet(spark):
     plan = optimized(QUERIES["H1_compare_version"](spark, "/root/testdata/sf0.001"))
     # the pairs of equal versions, the first branch of the union, are rows of ready answers
     assert "split(" not in plan[: plan.index("Generate explode(a")]
+
+
+def test_terms_are_counted_in_their_rows(spark):
+    rng = random.Random(3)
+    lists = [[rng.choice(["a", "B", "看", "", "zz"]) for _ in range(n)] for n in (0, 1, 2, 5, 40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lists)], "i int, t array<string>")
+    got = {r.i: {x.term: x.tf for x in r.c} for r in df.select("i", retrieval.term_counts(F.col("t")).alias("c")).collect()}
+    assert got == {i: dict(Counter(t)) for i, t in enumerate(lists)}
+    docs = spark.createDataFrame([("1", 1, "a b a")], "id string, ord int, text string")
+    assert "Aggregate" not in optimized(retrieval.build_index(docs).postings)
