@@ -49,7 +49,8 @@ def build_index(docs: DataFrame, wanted: DataFrame | None = None, tokenizer: Cal
     tokens = spread(docs.select("id", "ord", "text")).select("id", "ord", tokenizer(F.col("text")).alias("tokens"))
     totals = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     counts = tokens.select("id", "ord", F.size("tokens").alias("dl"), term_counts(F.col("tokens")).alias("counts"))
-    postings = counts.select("id", "ord", "dl", F.explode("counts").alias("p")).select("p.term", "id", "ord", "dl", "p.tf")
+    # not explode: Spark would look for texts without tokens first, and for that cut and count every text again
+    postings = counts.select("id", "ord", "dl", F.explode_outer("counts").alias("p")).filter("p IS NOT NULL").select("p.term", "id", "ord", "dl", "p.tf")
     if wanted is not None:
         postings, totals = postings.join(wanted.select("term").distinct(), "term", "left_semi"), checkpointed(totals)
     df = postings.groupBy("term").agg(F.count("*").alias("df"))

@@ -95,3 +95,10 @@ def test_terms_are_counted_in_their_rows(spark):
     assert got == {i: dict(Counter(t)) for i, t in enumerate(lists)}
     docs = spark.createDataFrame([("1", 1, "a b a")], "id string, ord int, text string")
     assert "Aggregate" not in optimized(retrieval.build_index(docs).postings)
+
+
+def test_texts_are_cut_once(spark):
+    docs = spark.createDataFrame([("1", 1, "a b a"), ("2", 2, ""), ("3", 3, None)], "id string, ord int, text string")
+    index = retrieval.build_index(docs)
+    assert optimized(index.postings).count("sort_array(") == 1
+    assert sorted((r.term, r.id, r.dl, r.tf) for r in index.postings.collect()) == [("a", "1", 3, 2), ("b", "1", 3, 1)]
