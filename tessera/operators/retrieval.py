@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 
 from tessera.functions import embed
 from tessera.functions.text import jaro_winkler_column, search_tokens
-from tessera.lineage import checkpointed
+from tessera.lineage import checkpointed, rows_of
 from tessera.operators.scoring import apply_quality, rrf, with_scalars
 from tessera.schema import Bm25
 
 
+#: Most terms of queries, with their weights, that go to every task.
+MOST_QUERY_TERMS = 200_000
+
+
 @dataclass
 class Index:
     """postings (term, id, ord, tf, dl), terms (term, df, idf), totals (n, avgdl) of one row."""
@@ -74,12 +78,20 @@ def term_weight(tf: Column, norm: Column, p: Bm25 = Bm25()) -> Column:
 def bm25(index: Index, queries: DataFrame, p: Bm25 = Bm25(), allowed: DataFrame | None = None) -> DataFrame:
     """(qid, id, ord, score) of queries (qid, text), rounded for stable ties; `allowed` ids narrow postings alone, statistics stay whole.
 
-    One plan for one query or a log of them: query terms meet postings on the term.
+    One plan for one query or a log of them. The postings of a document come together
+    first; then weighted query terms, if they are few enough to go to all tasks, meet
+    them where they are, and scores, as many as queries times documents, are summed
+    there. More query terms than that meet postings on the term.
     """
-    q = query_terms(queries)
+    q = checkpointed(query_terms(queries).join(index.terms, "term"))
     postings = index.postings if allowed is None else index.postings.join(allowed.select("id"), "id", "left_semi")
-    hits = q.join(index.terms, "term").join(postings, "term").crossJoin(F.broadcast(index.totals))
+    if rows_of(q) <= MOST_QUERY_TERMS:
+        tasks = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        hits = postings.repartition(tasks, "id").join(F.broadcast(q), "term")
+    else:
+        hits = q.join(postings, "term")
     part = F.col("qtf") * F.col("idf") * term_weight(F.col("tf"), length_norm(F.col("dl"), F.col("avgdl"), p), p)
+    hits = hits.crossJoin(F.broadcast(index.totals))
     return hits.groupBy("qid", "id", "ord").agg(F.round(F.sum(part), 9).alias("score")).filter("score > 0")
 
 

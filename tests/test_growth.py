@@ -1,6 +1,7 @@
 """What moves and what a row costs in queries whose pairs or counts grow fast: by their plans, and against plain versions."""
 
 import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -102,3 +103,15 @@ def test_texts_are_cut_once(spark):
     index = retrieval.build_index(docs)
     assert optimized(index.postings).count("sort_array(") == 1
     assert sorted((r.term, r.id, r.dl, r.tf) for r in index.postings.collect()) == [("a", "1", 3, 2), ("b", "1", 3, 1)]
+
+
+def test_scores_are_summed_where_a_document_is(spark, monkeypatch):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(str(i), i, " ".join(rng.choices("abcdefgh", k=rng.randint(0, 9)))) for i in range(60)], "id string, ord int, text string")
+    queries = spark.createDataFrame([("p", "a b z"), ("q", "c c d")], "qid string, text string")
+    index = retrieval.build_index(docs, retrieval.query_terms(queries))
+    found = retrieval.bm25(index, queries)
+    got = sorted(map(tuple, found.collect()))
+    assert not re.search(r"hashpartitioning\(qid", found._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(retrieval, "MOST_QUERY_TERMS", 0)
+    assert got and got == sorted(map(tuple, retrieval.bm25(index, queries).collect()))
